@@ -3,10 +3,14 @@
 from __future__ import annotations
 
 from .quality import quality_query
+from .tokens import tokens_query
 
 
 def queries() -> dict:
-    return {"op1_quality_classifier": quality_query}
+    return {
+        "op1_quality_classifier": quality_query,
+        "op5_token_counts": tokens_query,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
