@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from . import oracles
+from .decontaminate import contamination_query
 from .quality import quality_query
 from .tokens import tokens_query
 
@@ -9,9 +11,10 @@ from .tokens import tokens_query
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality_query,
+        "op4_benchmark_decontamination": contamination_query,
         "op5_token_counts": tokens_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op4_benchmark_decontamination": oracles.DECONTAMINATION}
