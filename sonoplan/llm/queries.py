@@ -6,15 +6,23 @@ from . import oracles
 from .decontaminate import contamination_query
 from .quality import quality_query
 from .tokens import tokens_query
+from .topk import topk_query
+from .warc import warc_query
 
 
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality_query,
+        "op3_warc": warc_query,
         "op4_benchmark_decontamination": contamination_query,
         "op5_token_counts": tokens_query,
+        "op10_exact_top_k": topk_query,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_benchmark_decontamination": oracles.DECONTAMINATION}
+    return {
+        "op3_warc": oracles.WARC,
+        "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+        "op10_exact_top_k": oracles.TOP_K,
+    }
