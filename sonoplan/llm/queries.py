@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 from . import oracles
+from .chat import chat_query
 from .decontaminate import contamination_query
+from .mixing import mixing_query
 from .quality import quality_query
 from .tokens import tokens_query
 from .topk import topk_query
@@ -16,6 +18,8 @@ def queries() -> dict:
         "op3_warc": warc_query,
         "op4_benchmark_decontamination": contamination_query,
         "op5_token_counts": tokens_query,
+        "op6_chat_formatting": chat_query,
+        "op8_temperature_mixing": mixing_query,
         "op10_exact_top_k": topk_query,
     }
 
@@ -24,5 +28,9 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": oracles.WARC,
         "op4_benchmark_decontamination": oracles.DECONTAMINATION,
+        "op6_chat_formatting": chat_query,
+        "op8_temperature_mixing": mixing_query,
+        "op6_chat_formatting": oracles.CHAT,
+        "op8_temperature_mixing": oracles.MIXING,
         "op10_exact_top_k": oracles.TOP_K,
     }
