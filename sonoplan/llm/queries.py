@@ -6,6 +6,7 @@ from . import oracles
 from .chat import chat_query
 from .decontaminate import contamination_query
 from .mixing import mixing_query
+from .pii import pii_query
 from .quality import quality_query
 from .tokens import tokens_query
 from .topk import topk_query
@@ -20,6 +21,7 @@ def queries() -> dict:
         "op5_token_counts": tokens_query,
         "op6_chat_formatting": chat_query,
         "op8_temperature_mixing": mixing_query,
+        "op9_pii_surrogates": pii_query,
         "op10_exact_top_k": topk_query,
     }
 
