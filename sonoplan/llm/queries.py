@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import oracles
+from . import licences, oracles
 from .chat import chat_query
 from .decontaminate import contamination_query
 from .mixing import mixing_query
@@ -20,6 +20,7 @@ def queries() -> dict:
         "op4_benchmark_decontamination": contamination_query,
         "op5_token_counts": tokens_query,
         "op6_chat_formatting": chat_query,
+        "op7_licence_scan": licences.licence_query,
         "op8_temperature_mixing": mixing_query,
         "op9_pii_surrogates": pii_query,
         "op10_exact_top_k": topk_query,
@@ -30,8 +31,7 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op3_warc": oracles.WARC,
         "op4_benchmark_decontamination": oracles.DECONTAMINATION,
-        "op6_chat_formatting": chat_query,
-        "op8_temperature_mixing": mixing_query,
+        "op7_licence_scan": licences.oracle(),
         "op6_chat_formatting": oracles.CHAT,
         "op8_temperature_mixing": oracles.MIXING,
         "op10_exact_top_k": oracles.TOP_K,
