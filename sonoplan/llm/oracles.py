@@ -73,3 +73,13 @@ placed AS (SELECT *, (h * blocks) >> 32 AS block, sum(n_tokens) OVER (PARTITION
 SELECT doc_id, source, CAST(epoch AS INTEGER) AS epoch, block, n_tokens, CASE WHEN budget > 0 THEN round(CAST(epoch * t + done - n_tokens AS DOUBLE) / budget, 9) ELSE 0 END AS place
 FROM placed WHERE epoch < whole OR done <= rest
 """
+
+NGRAM_JOIN = rf"""
+WITH RECURSIVE docs AS (SELECT doc_id, regexp_extract_all({_LOWER.format(c="text")}, '[^\x20\x09-\x0D]+') AS w FROM documents),
+grams AS (SELECT DISTINCT doc_id, array_to_string(w[k + 1 : k + 5], ' ') AS g FROM (SELECT doc_id, w, unnest(range(0, greatest(1, len(w) - 4))) AS k FROM docs WHERE len(w) > 0)),
+sizes AS (SELECT doc_id, count(*) AS n FROM grams GROUP BY doc_id),
+links AS (SELECT x.doc_id AS a, y.doc_id AS b FROM grams x JOIN grams y USING (g) JOIN sizes n ON n.doc_id = x.doc_id JOIN sizes m ON m.doc_id = y.doc_id
+  WHERE x.doc_id <> y.doc_id AND 100 * least(n.n, m.n) >= 80 * greatest(n.n, m.n) GROUP BY x.doc_id, y.doc_id, n.n, m.n HAVING 100 * count(*) >= 80 * (n.n + m.n - count(*))),
+reach AS (SELECT doc_id, doc_id AS r FROM docs UNION SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r)
+SELECT doc_id, CAST(coalesce(any_value(n), 0) AS BIGINT) AS n_shingles, min(r) AS component_id FROM reach LEFT JOIN sizes USING (doc_id) GROUP BY doc_id
+"""

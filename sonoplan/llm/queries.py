@@ -6,6 +6,7 @@ from . import licences, oracles
 from .chat import chat_query
 from .decontaminate import contamination_query
 from .mixing import mixing_query
+from .ngram_join import join_query
 from .pii import pii_query
 from .quality import quality_query
 from .tokens import tokens_query
@@ -16,6 +17,7 @@ from .warc import warc_query
 def queries() -> dict:
     return {
         "op1_quality_classifier": quality_query,
+        "op2_ngram_jaccard_join": join_query,
         "op3_warc": warc_query,
         "op4_benchmark_decontamination": contamination_query,
         "op5_token_counts": tokens_query,
@@ -29,6 +31,7 @@ def queries() -> dict:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_ngram_jaccard_join": oracles.NGRAM_JOIN,
         "op3_warc": oracles.WARC,
         "op4_benchmark_decontamination": oracles.DECONTAMINATION,
         "op7_licence_scan": licences.oracle(),
