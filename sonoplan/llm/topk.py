@@ -38,39 +38,42 @@ BLOCK_ROWS = 4096
 #: Of places that no row has taken.
 NO_SCORE, NO_ID = -(1 << 62), (1 << 63) - 1
 #: A node of no more vectors than this is a leaf.
-LEAF = 128
+LEAF = 256
+#: Most children of a node.
+BRANCHES = 16
 
 
 class Node:
     __slots__ = ("centre", "norm", "radius", "rows", "children")
 
-    def __init__(self, points: np.ndarray, rows: np.ndarray, centre: np.ndarray, distance: np.ndarray):
-        """rows: numbers of points; distance: theirs from the centre."""
+    def __init__(self, points: np.ndarray, squares: np.ndarray, rows: np.ndarray, centre: np.ndarray, distance: np.ndarray):
+        """rows: numbers of points, squares: of their norms; distance: theirs from the centre."""
         self.centre, self.norm = centre, float(np.sqrt(centre @ centre))
-        self.radius = float(distance.max()) if len(rows) else 0.0
+        self.radius = float(distance.max()) * (1 + 1e-9)
         self.rows, self.children = rows, []
         if len(rows) <= LEAF or self.radius == 0:
             return
         # Children's centres: points farther than half the radius from each other (a cover); each point goes to the nearest.
+        own, own_squares = points[rows], squares[rows]
         nearest, owner, centres = distance, np.zeros(len(rows), np.int64), [centre]
-        while nearest.max() > self.radius / 2 and len(centres) < 32:
-            new = points[rows[int(np.argmax(nearest))]]
-            d = np.sqrt(((points[rows] - new) ** 2).sum(axis=1))
-            owner = np.where(d < nearest, len(centres), owner)
+        while nearest.max() > self.radius / 2 and len(centres) < BRANCHES:
+            new = own[int(np.argmax(nearest))]
+            d = _distances(own, own_squares, new)
+            owner[d < nearest] = len(centres)
             nearest = np.minimum(d, nearest)
             centres.append(new)
         if len(centres) > 1:
-            for k, c in enumerate(centres):
-                own = np.flatnonzero(owner == k)
-                if len(own):
-                    self.children.append(Node(points, rows[own], c, nearest[own]))
-            if len(self.children) == 1:
-                self.children = []
+            groups = [np.flatnonzero(owner == k) for k in range(len(centres))]
+            self.children = [Node(points, squares, rows[g], c, nearest[g]) for g, c in zip(groups, centres, strict=True) if len(g)]
+
+
+def _distances(points: np.ndarray, squares: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(squares - 2 * (points @ centre) + centre @ centre, 0))
 
 
 def cover_tree(points: np.ndarray) -> Node:
-    centre = points[0]
-    return Node(points, np.arange(len(points)), centre, np.sqrt(((points - centre) ** 2).sum(axis=1)))
+    squares = (points * points).sum(axis=1)
+    return Node(points, squares, np.arange(len(points)), points[0], _distances(points, squares, points[0]))
 
 
 class Best:
@@ -80,22 +83,18 @@ class Best:
         self.k = k
         self.score = np.full((n, k), NO_SCORE, np.int64)
         self.ids = np.full((n, k), NO_ID, np.int64)
-        self.worst = np.full(n, -np.inf)
+        self.worst = np.full(n, NO_SCORE, np.int64)  # the kth score
 
     def offer(self, rows: np.ndarray, ids: np.ndarray, scores: np.ndarray, own: np.ndarray) -> None:
         """scores[i, j]: of query rows[i] and data ids[j]; own: the queries' ids."""
-        scores = np.where(own[:, None] == ids[None, :], NO_SCORE, scores)
-        score = np.concatenate((self.score[rows], scores), axis=1)
-        # Rows that cannot reach the kth best are cut first, keeping all ties with it.
-        kth = -np.partition(-score, self.k - 1, axis=1)[:, self.k - 1]
-        for i, r in enumerate(rows):
-            may = np.flatnonzero(score[i] >= kth[i])
-            idx = np.where(may < self.k, self.ids[r][np.minimum(may, self.k - 1)], ids[np.maximum(may - self.k, 0)])
-            order = np.lexsort((idx, -score[i][may]))[: self.k]
-            s, d = score[i][may][order], idx[order]
-            d[s == NO_SCORE] = NO_ID
-            self.score[r], self.ids[r] = s, d
-            self.worst[r] = s[-1] if s[-1] != NO_SCORE else -np.inf
+        scores[own[:, None] == ids[None, :]] = NO_SCORE
+        reach = (scores >= self.worst[rows][:, None]) & (scores > NO_SCORE)
+        for i in np.flatnonzero(reach.any(axis=1)):
+            r, may = rows[i], np.flatnonzero(reach[i])
+            score, idx = np.concatenate((self.score[r], scores[i, may])), np.concatenate((self.ids[r], ids[may]))
+            order = np.lexsort((idx, -score))[: self.k]
+            self.score[r], self.ids[r] = score[order], idx[order]
+            self.worst[r] = self.score[r, -1]
 
 
 def dual_search(queries: np.ndarray, query_ids: np.ndarray, tree_q: Node, data: np.ndarray, data_ids: np.ndarray, tree_x: Node, best: Best) -> None:
@@ -105,7 +104,8 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, tree_q: Node, data:
     exact = float(np.abs(fq).max(initial=0)) * float(np.abs(fx).max(initial=0)) * max(1, fq.shape[1]) < 2.0**53
 
     def bound(q: Node, x: Node) -> float:
-        return (float(q.centre @ x.centre) + q.norm * x.radius + x.norm * q.radius + q.radius * x.radius) * 1.0 + 1e-6 * (1 + q.norm + q.radius) * (1 + x.norm + x.radius)
+        """No less than any inner product of the two nodes' vectors, rounding included."""
+        return float(q.centre @ x.centre) + q.norm * x.radius + x.norm * q.radius + q.radius * x.radius + 1e-9 * (1 + q.norm + q.radius) * (1 + x.norm + x.radius)
 
     heap, n = [(-bound(tree_q, tree_x), 0, tree_q, tree_x)], 1
     while heap:
@@ -113,7 +113,12 @@ def dual_search(queries: np.ndarray, query_ids: np.ndarray, tree_q: Node, data:
         if -top < best.worst[q.rows].min():
             continue
         if not q.children and not x.children:
-            scores = (fq[q.rows] @ fx[x.rows].T).astype(np.int64) if exact else queries[q.rows] @ data[x.rows].T
+            if exact:  # most products are below what is there already, so they are compared before they are offered
+                scores = fq[q.rows] @ fx[x.rows].T
+                rows = np.flatnonzero(scores.max(axis=1) >= best.worst[q.rows])
+                best.offer(q.rows[rows], data_ids[x.rows], scores[rows].astype(np.int64), query_ids[q.rows[rows]])
+                continue
+            scores = queries[q.rows] @ data[x.rows].T
             best.offer(q.rows, data_ids[x.rows], scores, query_ids[q.rows])
             continue
         for a in q.children or [q]:
