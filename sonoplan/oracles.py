@@ -57,8 +57,8 @@ def mel_bank(n: int, norm: str = "none", high: float = 8000.0) -> str:
     return f"{points}, {raw}, fb AS (SELECT band, bin, {scale} AS w FROM mr WHERE w > 1e-10)"
 
 
-LOGHZ_BANK = """lt AS (SELECT j AS band, exp(ln(250e0) + j * (ln(8000e0) - ln(250e0)) / 11) / 250e0 AS at FROM (SELECT unnest(range(0, 12)) AS j)),
-lp AS (SELECT band, floor(at) AS lo, least(ceil(at), 32) AS hi, at - floor(at) AS part FROM lt),
+LOGHZ_BANK = """lt AS (SELECT j AS band, exp(ln(250e0) + j * (ln(8000e0) - ln(250e0)) / 11) / 250e0 AS spot FROM (SELECT unnest(range(0, 12)) AS j)),
+lp AS (SELECT band, floor(spot) AS lo, least(ceil(spot), 32) AS hi, spot - floor(spot) AS part FROM lt),
 fb AS (SELECT band, CAST(lo AS INTEGER) AS bin, CASE WHEN lo = hi THEN 1e0 ELSE 1 - part END AS w FROM lp WHERE lo <= 32 UNION ALL SELECT band, CAST(hi AS INTEGER), part FROM lp WHERE hi > lo AND lo <= 32)"""
 
 
@@ -92,7 +92,7 @@ def mel_db(n: int) -> str:
 
 
 def mfcc(drop: bool) -> str:
-    return f"""WITH {mel_db(12)}, d AS (SELECT signal_id, frame, c, sum(v * cos(pi() * c * (band + 0.5e0) / 12)) * (1 + 11 * sin(pi() * c / 22)) AS v FROM mb CROSS JOIN (SELECT unnest(range(0, 6)) AS c) GROUP BY ALL)
+    return f"""WITH {mel_db(12)}, d AS (SELECT signal_id, frame, c, sum(v * cos(pi() * c * (band + 0.5e0) / 12)) * (1 + 11 * sin(pi() * c / 22)) AS v FROM mb CROSS JOIN (SELECT unnest(range(0, 6)) AS c) GROUP BY signal_id, frame, c)
 SELECT signal_id, CAST(frame AS INTEGER) AS frame, CAST(c - {int(drop)} AS INTEGER) AS bin, {R("v", 5)} AS value FROM d {"WHERE c > 0" if drop else ""}"""
 
 
@@ -231,7 +231,7 @@ SELECT image_id, CAST((r + 4) % 8 AS INTEGER) AS r, CAST((c + 6) % 12 AS INTEGER
     q["imdct_reconstruct"] = f"WITH {m} SELECT signal_id, n, {R('x')} AS x FROM (SELECT signal_id, frame * 32 + i AS n, sum(v * {cosine} * {sine}) / 16 AS x FROM mc CROSS JOIN (SELECT unnest(range(0, 64)) AS i) GROUP BY ALL) WHERE n < 700"
     taps = "(VALUES (0, 0.5e0), (1, 0.25e0), (2, -0.125e0), (3, 0.0625e0), (4, 0.3125e0)) AS t(tap, h)"
     q["convolve_1d"] = f"WITH {E} SELECT signal_id, CAST(n + tap AS BIGINT) AS n, {R('sum(x * h)')} AS x FROM e CROSS JOIN {taps} GROUP BY signal_id, n + tap"
-    q["overlap_save_batch"] = f"WITH {H} SELECT signal_id, CAST(n + tap AS BIGINT) AS n, {R('sum(x * t.h)')} AS x FROM h CROSS JOIN {taps} WHERE n + tap < 720 GROUP BY signal_id, n + tap"
+    q["overlap_save_batch"] = f"WITH {H} SELECT signal_id, CAST(n + tap AS BIGINT) AS n, {R('sum(x * t.h)', 9)} AS x FROM h CROSS JOIN {taps} WHERE n + tap < 720 GROUP BY signal_id, n + tap"
     tap_turn = "2 * pi() * ((k * tap) % 64) / 64e0"
     turn_k = "2 * pi() * ((bin * i) % 64) / 64e0"
     q["deconvolve_1d"] = f"""WITH {LINE}, dz AS (SELECT k AS bin, sum(h * cos({tap_turn})) AS dr, -sum(h * sin({tap_turn})) AS di FROM {taps} CROSS JOIN (SELECT unnest(range(0, 33)) AS k) GROUP BY k),
@@ -252,7 +252,7 @@ SELECT signal_id, i AS n, {R(f"sum((CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END)
     q["ilr_diff"] = f"WITH {STEREO} SELECT pair_id, {R(f'abs(avg({other} - ({CUES['ilr']})))')} AS mean FROM zc GROUP BY pair_id"
     e8, wide = images("e"), images("h")
     q["fft2d"] = f"WITH {e8}, {fft2(8, 8)} SELECT {PIXELS}, {R('re')} AS re, {R('im')} AS im FROM s2"
-    q["fft2d_rectangular"] = f"WITH {wide}, {fft2(24, 30)} SELECT {PIXELS}, {R('re', 4)} AS re, {R('im', 4)} AS im FROM s2"
+    q["fft2d_rectangular"] = f"WITH {wide}, {fft2(24, 30)} SELECT {PIXELS}, {R('re', 7)} AS re, {R('im', 7)} AS im FROM s2"
     q["power_2d"] = f"WITH {e8}, {fft2(8, 8)} SELECT {PIXELS}, {R('re * re + im * im')} AS v FROM s2"
     q["magnitude_2d"] = f"WITH {e8}, {fft2(8, 8)} SELECT {PIXELS}, {R('sqrt(re * re + im * im)')} AS v FROM s2"
     q["ifft2d_roundtrip"] = f"WITH {e8} SELECT {PIXELS}, {R('v')} AS v FROM im"
@@ -268,8 +268,8 @@ SELECT signal_id, i AS n, {R(f"sum((CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END)
     low, high, middle = mask(8, 8, 0.8), f"(1 - {mask(8, 8, 0.5)})", f"({mask(8, 8, 1.0)} - {mask(8, 8, 0.4)})"
     for name, m2 in (("lowpass", low), ("highpass", high), ("bandpass", middle)):
         q[name] = f"WITH {filtered('e', 8, 8, m2)} SELECT {PIXELS}, {R('v')} AS v FROM y2"
-    q["edges"] = f"WITH {filtered('h', 24, 30, f'(1 - {mask(24, 30, 0.1)})')} SELECT {PIXELS}, {R('v', 5)} AS v FROM y2"
-    q["sharpen"] = f"WITH {filtered('h', 24, 30, f'(1 - {mask(24, 30, 0.2)})')} SELECT image_id, CAST(im.r AS INTEGER) AS r, CAST(im.c AS INTEGER) AS c, {R('im.v + 1.5e0 * y2.v', 5)} AS v FROM im JOIN y2 USING (image_id, r, c)"
+    q["edges"] = f"WITH {filtered('h', 24, 30, f'(1 - {mask(24, 30, 0.1)})')} SELECT {PIXELS}, {R('v', 7)} AS v FROM y2"
+    q["sharpen"] = f"WITH {filtered('h', 24, 30, f'(1 - {mask(24, 30, 0.2)})')} SELECT image_id, CAST(im.r AS INTEGER) AS r, CAST(im.c AS INTEGER) AS c, {R('im.v + 1.5e0 * y2.v', 7)} AS v FROM im JOIN y2 USING (image_id, r, c)"
     fast = f"SELECT signal_id, CAST(i AS INTEGER) AS i, {R('sum(p)')} AS value"
     q["fft_convolve_fast"] = f"WITH {E} {fast} FROM (SELECT signal_id, n + tap AS i, x * h AS p FROM e CROSS JOIN {taps}) GROUP BY signal_id, i"
     q["mdct_fast"] = f"WITH {E} {fast} FROM (SELECT signal_id, fr * 16 + k AS i, x * sin(pi() * (n - fr * 16 + 0.5e0) / 32) * cos(pi() / 64 * (2 * (n - fr * 16) + 17) * (2 * k + 1)) AS p FROM e CROSS JOIN (SELECT unnest(range(0, 3)) AS fr) CROSS JOIN (SELECT unnest(range(0, 16)) AS k) WHERE n - fr * 16 BETWEEN 0 AND 31) GROUP BY signal_id, i"

@@ -256,7 +256,7 @@ def queries() -> dict[str, Query]:
     q["mdct"] = lambda s, d: _rounded(lapped.mdct(_hours(s, d), MDCT, src.HOURS))
     q["imdct_reconstruct"] = lambda s, d: _rounded(lapped.imdct(lapped.mdct(_hours(s, d), MDCT, src.HOURS), MDCT, 700))
     q["convolve_1d"] = lambda s, d: _rounded(conv.convolve(_vectors(s, d), _response(s), len(RESPONSE)))
-    q["overlap_save_batch"] = lambda s, d: _rounded(conv.filter_blocks(_hours(s, d), _response(s), len(RESPONSE)))
+    q["overlap_save_batch"] = lambda s, d: _rounded(conv.filter_blocks(_hours(s, d), _response(s), len(RESPONSE)), 9)
     q["deconvolve_1d"] = _deconvolve
     q["magphase"] = _magphase
     q["itd"] = _cue(_itd, 9)
@@ -271,7 +271,7 @@ def queries() -> dict[str, Query]:
     q["itd_diff_summary"] = lambda s, d: _rounded(bi.time_comparison(_itd(s, d), bi.time_difference(_swapped(s, d), BAND, 64))[1], 6)
     q["ilr_diff"] = lambda s, d: _rounded(bi.ratio_comparison(_ilr(s, d), bi.level_ratio(_swapped(s, d), BAND, 64))[1])
     q["fft2d"] = _image(lambda i: image.fft2d(i, 8, 8))
-    q["fft2d_rectangular"] = lambda s, d: _rounded(image.fft2d(_day_hour(s, d), 24, 30), 4)
+    q["fft2d_rectangular"] = lambda s, d: _rounded(image.fft2d(_day_hour(s, d), 24, 30), 7)
     q["power_2d"] = _image(lambda i: image.power_2d(i, 8, 8))
     q["magnitude_2d"] = _image(lambda i: image.magnitude_2d(i, 8, 8))
     q["ifft2d_roundtrip"] = _image(lambda i: image.ifft2d(image.fft2d(i, 8, 8), 8, 8))
@@ -286,8 +286,8 @@ def queries() -> dict[str, Query]:
     q["lowpass"] = _image(lambda i: image.lowpass(i, 8, 8, 0.8))
     q["highpass"] = _image(lambda i: image.highpass(i, 8, 8, 0.5))
     q["bandpass"] = _image(lambda i: image.bandpass(i, 8, 8, 0.4, 1.0))
-    q["edges"] = lambda s, d: _rounded(image.edges(_day_hour(s, d), 24, 30), 5)
-    q["sharpen"] = lambda s, d: _rounded(image.sharpen(_day_hour(s, d), 24, 30, 1.5), 5)
+    q["edges"] = lambda s, d: _rounded(image.edges(_day_hour(s, d), 24, 30), 7)
+    q["sharpen"] = lambda s, d: _rounded(image.sharpen(_day_hour(s, d), 24, 30, 1.5), 7)
     # Vectorised only: recurrences and transforms of many steps.
     q["gammatone_iir"] = _vector_list(lambda x: vector.gammatone(x, RATE, 32, 16, ERB).ravel(), 8)
     q["minimum_phase"] = _vector_list(lambda x: vector.minimum_phase(x))
