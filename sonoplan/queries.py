@@ -21,6 +21,8 @@ from .params import BinauralParams, ChromaParams, CqtParams, ErbParams, LogHzPar
 from .plans import vector
 from .plans.planner import Planner
 from .sources import signals as src
+from .streaming import frames as stream_frames
+from .streaming import tables as stream_tables
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -210,6 +212,21 @@ def _batch(spark: SparkSession, sf: str) -> DataFrame:
     return _rounded(src.pad_to_longest(own))
 
 
+def _stream(spark: SparkSession, sf: str) -> DataFrame:
+    """The embeddings as a stream of samples."""
+    rows = stream_tables.read_stream(spark, f"{sf}/embeddings.parquet")
+    return rows.select(F.col("vec_id").alias("signal_id"), F.posexplode("embedding").alias("n", "x")).select("signal_id", F.col("n").cast("long").alias("n"), F.col("x").cast("double").alias("x"))
+
+
+def _stream_spectra(spark: SparkSession, sf: str) -> DataFrame:
+    own = stream_tables.run(stream_frames.spectra_stream(_stream(spark, sf), StftParams(16, 8, centre=False)))
+    return _rounded(own.select("signal_id", "frame", F.posexplode("power").alias("bin", "value")))
+
+
+def _stream_filter(spark: SparkSession, sf: str) -> DataFrame:
+    return _rounded(stream_tables.run(stream_frames.filter_stream(_stream(spark, sf), RESPONSE)))
+
+
 def queries() -> dict[str, Query]:
     q: dict[str, Query] = {}
     q["frame_count"] = _frame_count
@@ -296,4 +313,6 @@ def queries() -> dict[str, Query]:
     q["mdct_fast"] = _vector_list(lambda x: vector.mdct(x, MdctParams.sine(32)).ravel())
     q["convolve_2d_fast"] = _vector_list(lambda x: vector.convolve_2d(x.reshape(8, 8), np.outer([1, 2, 1], [1, 2, 1]) / 16.0).ravel())
     q["lowpass_fast"] = _vector_list(lambda x: vector.filter_2d(x.reshape(8, 8), vector.lowpass_mask(8, 8, 0.8)).ravel())
+    q["stream_spectra"] = _stream_spectra
+    q["stream_filter"] = _stream_filter
     return q
