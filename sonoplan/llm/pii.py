@@ -55,6 +55,11 @@ MEN = ["Adam", "Bruno", "Carl", "David", "Emil", "Felix", "Hugo", "Jonas", "Karl
 SCRIPTS = {"a-z": "abcdefghijklmnopqrstuvwxyz", "ß-öø-ÿ": "áàâäéèêëíìîïóòôöúùûüñç", "α-ω": "αβγδεζηθικλμνξοπρστυφχψω", "а-я": "абвгдежзиклмнопрстуфхцчшэюя"}
 
 
+def _let(value: Column, f) -> Column:
+    """f of a value that is formed once, however often and in whatever lambda f reads it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
+
 def _drawn(stream: Column, i: Column) -> Column:
     """The ith number below 65536 of a stream of hexadecimal digits."""
     return F.conv(F.substr(stream, i * 4 + 1, F.lit(4)), 16, 10).cast("int")
@@ -108,23 +113,35 @@ def normal_form(kind: Column, found: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
     """The attempt's surrogate of a normal form."""
-    stream = _stream(kind, norm, attempt)
-    lower = F.lower(norm)
+    return _let(_stream(kind, norm, attempt), lambda stream: _of_stream(kind, norm, stream))
+
+
+def _of_stream(kind: Column, norm: Column, stream: Column) -> Column:
+    lower, n = F.lower(norm), F.length(norm)
     # A telephone number keeps the country's code, an access key its first four letters, an address its last label.
-    head = F.when((kind == "phone") & (F.length(norm) > 10), F.length(norm) - 10).when(kind == "access", 4).otherwise(0)
-    drawn = _letters(lower, stream, (kind == "secret") & lower.rlike("^[0-9a-f]+$"), head)
-    cased = F.array_join(F.transform(F.sequence(F.lit(0), F.length(norm) - 1), lambda i: F.when(F.substr(norm, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substr(drawn, i + 1, F.lit(1)))).otherwise(F.substr(drawn, i + 1, F.lit(1)))), "")
-    n = F.length(norm)
-    # The last digit makes the sum's remainder what it was.
-    part = F.substr(drawn, F.lit(1), n - 1)
-    card = F.concat(part, F.pmod(_luhn(norm, n) - _luhn(F.concat(part, F.lit("0")), n - 1), F.lit(10)).cast("string"))
+    head = F.when((kind == "phone") & (n > 10), n - 10).when(kind == "access", 4).otherwise(0)
+    letters = _letters(lower, stream, (kind == "secret") & lower.rlike("^[0-9a-f]+$"), head)
+
+    def cased(drawn: Column) -> Column:
+        return F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.when(F.substr(norm, i + 1, F.lit(1)).rlike(r"\p{Lu}"), F.upper(F.substr(drawn, i + 1, F.lit(1)))).otherwise(F.substr(drawn, i + 1, F.lit(1)))), "")
+
+    def card(drawn: Column) -> Column:
+        """The last digit makes the sum's remainder what it was."""
+        part = F.substr(drawn, F.lit(1), n - 1)
+        return F.concat(part, F.pmod(_luhn(norm, n) - _luhn(F.concat(part, F.lit("0")), n - 1), F.lit(10)).cast("string"))
+
+    def name(own: Column) -> Column:
+        words = F.split(norm, " ")
+        woman = F.element_at(words, 1).isin("Mrs.", "Ms.", "Frau", "Madame", "Señora")
+        pick = lambda names: F.element_at(F.array(*map(F.lit, names)), _drawn(stream, F.lit(0)) % len(names) + 1)
+        return F.concat_ws(" ", F.element_at(words, 1), F.when(F.size(words) == 3, F.when(woman, pick(WOMEN)).otherwise(pick(MEN))), F.substring_index(own, " ", -1))
+
     octets = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(3)), lambda i: (_drawn(stream, i) % 254 + 1).cast("string")), ".")
-    email = F.concat(F.regexp_extract(cased, r"^(.*\.)[^.]*$", 1), F.regexp_extract(norm, r"([^.]*)$", 1))
-    words = F.split(norm, " ")
-    woman = F.element_at(words, 1).isin("Mrs.", "Ms.", "Frau", "Madame", "Señora")
-    given = F.when(woman, F.element_at(F.array(*map(F.lit, WOMEN)), _drawn(stream, F.lit(0)) % len(WOMEN) + 1)).otherwise(F.element_at(F.array(*map(F.lit, MEN)), _drawn(stream, F.lit(0)) % len(MEN) + 1))
-    name = F.concat_ws(" ", F.element_at(words, 1), F.when(F.size(words) == 3, given), F.substring_index(cased, " ", -1))
-    return F.when(kind == "card", card).when(kind == "ipv4", octets).when(kind == "email", email).when(kind == "name", name).otherwise(cased)
+    email = lambda own: F.concat(F.regexp_extract(own, r"^(.*\.)[^.]*$", 1), F.regexp_extract(norm, r"([^.]*)$", 1))
+    of_case = lambda f: _let(cased(letters), f)
+    return (
+        F.when(kind == "card", _let(letters, card)).when(kind == "ipv4", octets).when(kind == "email", of_case(email)).when(kind == "name", of_case(name)).otherwise(_let(letters, cased))
+    )
 
 
 def formatted(kind: Column, found: Column, drawn: Column) -> Column:
@@ -145,9 +162,12 @@ def found_in(text: Column) -> Column:
 def surrogates(entities: DataFrame) -> DataFrame:
     """_ki, _no, _su: a surrogate of its own for each distinct entity (_ki, _no); collisions are drawn again."""
     # An entity's draws do not depend on the others, so a collision's loser is the later one in order; it draws again.
+    spark = entities.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     todo, done, attempt = entities.withColumn("_at", F.lit(0)), None, 0
     while True:
-        drawn = todo.select("_ki", "_no", surrogate(F.col("_ki"), F.col("_no"), F.col("_at")).alias("_su"))
+        # Few bytes but much work: dealt out to as many tasks as a shuffle has.
+        drawn = stash(todo.repartition(parts, "_ki", "_no").select("_ki", "_no", surrogate(F.col("_ki"), F.col("_no"), F.col("_at")).alias("_su")), "drawn")
         taken = [entities.select("_ki", F.col("_no").alias("_su"), F.lit(True).alias("_old"), F.lit(None).cast("string").alias("_no"))]
         if done is not None:
             taken.append(done.select("_ki", "_su", F.lit(True).alias("_old"), F.lit(None).cast("string").alias("_no")))
@@ -174,7 +194,8 @@ def rewrite(docs: DataFrame) -> DataFrame:
     found = scanned.select(F.explode(F.array_distinct("_en")).alias("_fo")).distinct().withColumn("_ki", type_of(F.col("_fo")))
     entities = stash(found.select("_ki", normal_form(F.col("_ki"), F.col("_fo")).alias("_no")).distinct(), "entities")
     own = surrogates(entities)
-    spelled = found.withColumn("_no", normal_form(F.col("_ki"), F.col("_fo"))).join(own, ["_ki", "_no"]).select(F.col("_fo").alias("_f2"), formatted(F.col("_ki"), F.col("_fo"), F.col("_su")).alias("_su"))
+    spelled = found.withColumn("_no", normal_form(F.col("_ki"), F.col("_fo"))).join(own, ["_ki", "_no"])
+    spelled = stash(spelled.repartition(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), "_fo").select(F.col("_fo").alias("_f2"), formatted(F.col("_ki"), F.col("_fo"), F.col("_su")).alias("_su")), "spelled")
     # One row for each entity of a text; the text and the other columns go with the first.
     rows = scanned.select("_ro", F.posexplode("_en").alias("_po", "_fo"), "_pa").withColumn("_pa", F.when(F.col("_po") == 0, F.col("_pa")))
     met = rows.join(spelled, F.col("_fo") == F.col("_f2"))
