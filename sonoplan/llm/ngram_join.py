@@ -13,8 +13,9 @@ bounds how many of a prefix can be missing: the prefix holds one token more than
    them is indexed alone. If not, the prefix is extended into its frequent tokens, which are indexed by pairs: a
    pair is of one group of tokens (by hash; the number of groups follows the size), and as long as the groups
    hold the tokens that may be missing and one more each, two linked documents share a rare token or a pair.
-4. Candidates. A rare token has few documents by definition, so its candidates are formed where its run is sorted.
-   A pair's documents meet with its smallest document first; only what is not yet in one component then meets.
+4. Candidates. A rare token has few documents by definition, so its candidates are formed where its run is sorted, and
+   stay if what they share of the prefixes allows a link. Without a shared rare token, only frequent ones can be shared.
+   A pair's documents meet with one of them first; only what is not yet in one component then meets.
 5. Verification. Each candidate pair's whole token sets are intersected. First every document is held against its
    likeliest candidate; after components are formed, candidates across components are verified; so within a group
    of near copies not all pairs are formed, and no link between different components is lost.
@@ -28,7 +29,7 @@ other columns are never read.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import reduce
 
 import numpy as np
@@ -37,7 +38,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, release, slices, stash, table, text_bytes
+from .common import batches_of, discard, release, slices, stash, table, text_bytes
 
 N = 5
 SHARE = 80
@@ -45,8 +46,14 @@ SHARE = 80
 FREQUENT = 32
 #: log2 of the bits of the bitmaps of frequent tokens and of wanted documents (2 MB each).
 BITMAP = 24
-#: Tokens or postings that a task sorts at a time, and that a part of the exchange holds about.
-RUN, PART = 1 << 21, 1 << 21
+#: Tokens or postings that a task sorts at a time; that a part of the exchange, and a task that reads parts, hold about.
+RUN, PART, READ = 1 << 19, 1 << 17, 1 << 20
+#: Words of 64 parity bits of a set.
+PARITY = 8
+#: Sizes of one band differ by this factor at most.
+BAND = 1.05
+#: Texts that a worker gets at a time.
+BATCH = 2000
 #: Frequent tokens of one group in a document of the band's least size.
 GROUP = 8
 
@@ -82,7 +89,7 @@ def _powers_to(n: int) -> tuple[np.ndarray, np.ndarray]:
 def shingle_sets(column: pa.Array) -> Iterator[np.ndarray]:
     """The set of each text, as sorted distinct 64-bit hashes."""
     raw, starts = text_bytes(column)
-    for i, j in slices(starts):
+    for i, j in slices(starts, 1 << 18):
         part, at = raw[starts[i] : starts[j]], starts[i : j + 1] - starts[i]
         if not len(part):
             yield from (np.zeros(0, _U) for _ in range(j - i))
@@ -141,16 +148,27 @@ def _id_position(doc_id: Column) -> Column:
     return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - BITMAP)
 
 
-def _wanted(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """doc_id, text of docs whose id is one of ids (doc_id), and a few others, by a bitmap of fixed size."""
-    bits = np.frombuffer(_bitmap(ids, _id_position(F.col("doc_id"))), np.uint8)
-    shared = docs.sparkSession.sparkContext.broadcast(bits)
+class Wanted:
+    """Texts whose doc_id is one of ids (doc_id), and a few others: told by a bitmap of fixed size, inside the function that reads them."""
 
-    @F.arrow_udf("boolean")
-    def among(position: pa.Array) -> pa.Array:
-        return pa.array(_has(shared.value, position.to_numpy(zero_copy_only=False)))
+    def __init__(self, docs: DataFrame, ids: DataFrame):
+        bits = _bitmap(ids, _id_position(F.col("doc_id")))
+        self.bits = docs.sparkSession.sparkContext.broadcast(np.frombuffer(bits, np.uint8))
+        self.docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _id_position(F.col("doc_id")).alias("p"))
 
-    return docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _id_position(F.col("doc_id")).alias("_p")).where(among("_p")).select("doc_id", "text")
+    def map(self, f: Callable[[Iterator[tuple[int, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+        """f of the (doc_id, set) of each task's texts."""
+        shared = self.bits
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            def sets() -> Iterator[tuple[int, np.ndarray]]:
+                for batch in batches:
+                    batch = batch.filter(pa.array(_has(shared.value, batch.column(2).to_numpy())))
+                    yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True)
+
+            return f(sets())
+
+        return self.docs.mapInArrow(run, schema)
 
 
 def _pack(values: np.ndarray) -> bytes:
@@ -175,15 +193,19 @@ def _part_bits(n: int) -> int:
     return max(4, int(-(-n // PART) - 1).bit_length())
 
 
+def _readers(n: int) -> int:
+    return max(16, -(-n // READ))
+
+
 #: Bits of a token that do not count for its class: the differences in a sorted run become short.
 _DROPPED = _U(12)
 
 
-def frequent_tokens(docs: DataFrame, n_tokens: int) -> DataFrame:
+def frequent_tokens(docs: Wanted, n_tokens: int) -> DataFrame:
     """position, n: places in the bitmap of tokens of FREQUENT documents or more, and the number of documents."""
     bits = _part_bits(n_tokens)
 
-    def runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def runs(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         held, n = [], 0
 
         def flush() -> pa.RecordBatch:
@@ -193,13 +215,12 @@ def frequent_tokens(docs: DataFrame, n_tokens: int) -> DataFrame:
             packed = [_pack(values[cuts[k] : cuts[k + 1]] >> _DROPPED) for k in some]
             return pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(packed, pa.binary())], ["part", "run"])
 
-        for batch in batches:
-            for own in shingle_sets(batch.column(0)):
-                held.append(own)
-                n += len(own)
-                if n >= RUN:
-                    yield flush()
-                    held, n = [], 0
+        for _, own in sets:
+            held.append(own)
+            n += len(own)
+            if n >= RUN:
+                yield flush()
+                held, n = [], 0
         if n:
             yield flush()
 
@@ -212,7 +233,7 @@ def frequent_tokens(docs: DataFrame, n_tokens: int) -> DataFrame:
             many = n >= FREQUENT
             yield pa.RecordBatch.from_arrays([pa.array((values[first[many]] >> (_U(64 - BITMAP) - _DROPPED)).astype(np.int64)), pa.array(n[many], pa.int64())], ["position", "n"])
 
-    return docs.select("text").mapInArrow(runs, "part int, run binary").repartition(1 << bits, "part").mapInArrow(count, "position long, n long")
+    return docs.map(runs, "part int, run binary").repartition(_readers(n_tokens), "part").mapInArrow(count, "position long, n long")
 
 
 def class_bitmap(frequent: DataFrame) -> bytes:
@@ -256,17 +277,24 @@ def prefix(own: np.ndarray, is_frequent: np.ndarray) -> tuple[np.ndarray, np.nda
     return rare, np.unique(np.concatenate(out)) if out else np.zeros(0, _U)
 
 
-def index(docs: DataFrame, classes: bytes, n_tokens: int) -> tuple[DataFrame, DataFrame]:
-    """Runs of rare postings by part, and rows (sig, doc, n) of pairs of frequent tokens; of sets that can have a link to another set."""
+def parities(own: np.ndarray) -> list[int]:
+    """A bit for each of 64 PARITY ranges of tokens: whether their number is odd. Sets differ by as many tokens as bits at least."""
+    odd = np.bincount((own & _U(64 * PARITY - 1)).astype(np.int64), minlength=64 * PARITY).astype(np.uint8) & 1
+    return np.packbits(odd).view(np.int64).tolist()
+
+
+def index(docs: Wanted, classes: bytes, n_tokens: int) -> tuple[DataFrame, DataFrame]:
+    """Runs of rare postings by part, and rows (sig, doc, n, nf: of them frequent, q: parities) of pairs of frequent tokens; of sets that can have a link to another set."""
     bits = _part_bits(n_tokens // N)
-    shared = docs.sparkSession.sparkContext.broadcast(np.frombuffer(classes, np.uint8))
+    shared = docs.docs.sparkSession.sparkContext.broadcast(np.frombuffer(classes, np.uint8))
 
-    def postings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def postings(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
         bitmap = shared.value
         tokens, ids, sizes, n = [], [], [], 0
 
-        def rows(part, run, sig, doc, size) -> pa.RecordBatch:
-            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in ((part, pa.int32()), (run, pa.binary()), (sig, pa.int64()), (doc, pa.int64()), (size, pa.int64()))], ["part", "run", "sig", "doc", "n"])
+        def rows(part, run, sig, doc, size, common, parity) -> pa.RecordBatch:
+            kinds = pa.int32(), pa.binary(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.int64())
+            return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip((part, run, sig, doc, size, common, parity), kinds, strict=True)], ["part", "run", "sig", "doc", "n", "nf", "q"])
 
         def flush() -> pa.RecordBatch:
             values = np.concatenate(tokens)
@@ -283,33 +311,34 @@ def index(docs: DataFrame, classes: bytes, n_tokens: int) -> tuple[DataFrame, Da
                 local = zstandard.compress(np.ascontiguousarray(local.astype(np.uint32).view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
                 packed.append(b"".join(x for y in (head, body, local) for x in (len(y).to_bytes(8, "little"), y)))
             none = [None] * len(some)
-            return rows(some, packed, none, none, none)
-
-        for batch in batches:
-            for doc, own in zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True):
-                if len(own) < 4:  # of sets this small, only equal ones reach the share
-                    continue
-                rare, pairs = prefix(own, _has(bitmap, (own >> _U(64 - BITMAP)).astype(np.int64)))
-                if len(rare):
-                    tokens.append(rare)
-                    ids.append(doc)
-                    sizes.append(len(own))
-                    n += len(rare)
-                if len(pairs):
-                    m = len(pairs)
-                    yield rows([None] * m, [None] * m, pairs.view(np.int64), [doc] * m, [len(own)] * m)
-                if n >= RUN:
-                    yield flush()
-                    tokens, ids, sizes, n = [], [], [], 0
+            return rows(some, packed, none, none, none, none, none)
+
+        for doc, own in sets:
+            if len(own) < 4:  # of sets this small, only equal ones reach the share
+                continue
+            rare, pairs = prefix(own, _has(bitmap, (own >> _U(64 - BITMAP)).astype(np.int64)))
+            if len(rare):
+                tokens.append(rare)
+                ids.append(doc)
+                sizes.append(len(own) << 32 | len(rare))
+                n += len(rare)
+            if len(pairs):
+                m = len(pairs)
+                yield rows([None] * m, [None] * m, pairs.view(np.int64), [doc] * m, [len(own)] * m, [len(own) - len(rare)] * m, [parities(own)] * m)
+            if n >= RUN:
+                yield flush()
+                tokens, ids, sizes, n = [], [], [], 0
         if n:
             yield flush()
 
-    out = stash(docs.select("doc_id", "text").mapInArrow(postings, "part int, run binary, sig long, doc long, n long"), "postings")
-    return out.where("part is not null").select("part", "run"), out.where("part is null").select("sig", "doc", "n")
+    out = stash(docs.map(postings, "part int, run binary, sig long, doc long, n long, nf long, q array<long>"), "postings")
+    return out.where("part is not null").select("part", "run"), out.where("part is null").select("sig", "doc", "n", "nf", "q")
+
 
+def rare_candidates(runs: DataFrame, n_postings: int) -> DataFrame:
+    """a < b, sa, sb, c: documents that share c rare tokens of their prefixes (as one task saw it), of sizes that can link.
 
-def rare_candidates(runs: DataFrame, bits: int) -> DataFrame:
-    """a < b, c: documents that share c rare tokens of their prefixes (as one task saw it), of sizes that can link."""
+    sa and sb are the sizes, shifted left by 32, and the rare tokens in the prefixes."""
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens, docs, sizes = [], [], []
@@ -325,7 +354,7 @@ def rare_candidates(runs: DataFrame, bits: int) -> DataFrame:
                 local = np.ascontiguousarray(np.frombuffer(zstandard.decompress(fields[2]), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
                 tokens.append(own)
                 docs.append(ids[local])
-                sizes.append(n[local].astype(np.int32))
+                sizes.append(n[local])
         if not tokens:
             return
         token, doc, size = map(np.concatenate, (tokens, docs, sizes))
@@ -334,57 +363,87 @@ def rare_candidates(runs: DataFrame, bits: int) -> DataFrame:
         token, doc, size = token[order], doc[order], size[order]
         first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
         n = np.diff(np.append(first, len(token)))
-        found_a, found_b = [], []
+        left, right = [], []
         for m in np.unique(n[n > 1]):
             rows = first[n == m][:, None] + np.arange(m)
             for i in range(m - 1):
                 for j in range(i + 1, m):
                     a, b = rows[:, i], rows[:, j]
-                    fits = (100 * np.minimum(size[a], size[b]).astype(np.int64) >= SHARE * np.maximum(size[a], size[b]).astype(np.int64)) & (doc[a] != doc[b])
-                    found_a.append(doc[a[fits]])
-                    found_b.append(doc[b[fits]])
-        if not found_a:
+                    na, nb = size[a] >> 32, size[b] >> 32
+                    fits = (100 * np.minimum(na, nb) >= SHARE * np.maximum(na, nb)) & (doc[a] != doc[b])
+                    left.append(a[fits])
+                    right.append(b[fits])
+        if not left:
             return
-        a, b = np.concatenate(found_a), np.concatenate(found_b)
-        order = np.lexsort((b, a))
-        a, b = a[order], b[order]
-        head = np.flatnonzero(np.concatenate((np.ones(min(1, len(a)), bool), (a[1:] != a[:-1]) | (b[1:] != b[:-1]))))
-        c = np.diff(np.append(head, len(a)))
-        for k in range(0, len(head), 1 << 16):
-            here = head[k : k + (1 << 16)]
-            yield pa.RecordBatch.from_arrays([pa.array(a[here]), pa.array(b[here]), pa.array(c[k : k + (1 << 16)], pa.int64())], ["a", "b", "c"])
+        a, b = np.concatenate(left), np.concatenate(right)
+        columns = doc[a], doc[b], size[a], size[b]
+        order = np.lexsort(columns[::-1])
+        columns = [x[order] for x in columns]
+        new = np.ones(len(order), bool)
+        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
+        head = np.flatnonzero(new)
+        c = np.diff(np.append(head, len(order)))
+        for k in range(0, len(head), 1 << 14):
+            here = head[k : k + (1 << 14)]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x[here]) for x in columns), pa.array(c[k : k + (1 << 14)], pa.int64())], ["a", "b", "sa", "sb", "c"])
 
-    return runs.repartition(1 << bits, "part").mapInArrow(meet, "a long, b long, c long")
+    return runs.repartition(_readers(n_postings), "part").mapInArrow(meet, "a long, b long, sa long, sb long, c long")
 
 
-def _can_link(a: str, b: str) -> Column:
-    return F.lit(100) * F.least(F.col(a), F.col(b)) >= F.lit(SHARE) * F.greatest(F.col(a), F.col(b))
+def _overlap(a: Column, b: Column) -> Column:
+    """Tokens that sets of these sizes share at least if they link."""
+    return F.ceil(F.lit(SHARE) * (a + b) / F.lit(100 + SHARE))
+
+
+def _near(n: str, m: str, nf: str, mf: str, q: str, r: str) -> Column:
+    """Whether sets without a common rare token may link: by their frequent tokens, and by the tokens that they differ in at least."""
+    apart = reduce(lambda a, b: a + b, (F.bit_count(F.col(q)[k].bitwiseXOR(F.col(r)[k])) for k in range(PARITY)))
+    overlap = _overlap(F.col(n), F.col(m))
+    return (F.least(nf, mf) >= overlap) & (F.col(n) + F.col(m) - apart >= 2 * overlap)
+
+
+def may_link(candidates: DataFrame) -> DataFrame:
+    """a, b, c of the rare candidates (a, b, sa, sb, c) that share enough of their prefixes.
+
+    Up to where the first of both prefixes ends, all that is shared is counted in c. After it, a side whose prefix is all rare
+    has one token less than the share of its own size; if both have frequent tokens in theirs, only frequent ones are left."""
+    whole = candidates.groupBy("a", "b", "sa", "sb").agg(F.sum("c").alias("c"))
+    na, nb, ra, rb = F.shiftright("sa", 32), F.shiftright("sb", 32), F.col("sa").bitwiseAND(0xFFFFFFFF), F.col("sb").bitwiseAND(0xFFFFFFFF)
+    least = lambda n: F.ceil(F.lit(SHARE) * n / F.lit(100))
+    mixed = lambda n, r: r < n - least(n) + 1
+    after = (
+        F.when(mixed(na, ra) & mixed(nb, rb), F.least(na - ra, nb - rb)).when(mixed(na, ra), least(nb) - 1).when(mixed(nb, rb), least(na) - 1).otherwise(least(F.greatest(na, nb)) - 1)
+    )
+    return whole.where(F.col("c") + after >= _overlap(na, nb)).select("a", "b", "c")
 
 
 def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """The pairs (a, b) whose whole sets link."""
     ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
 
-    @F.arrow_udf("binary")
-    def token_set(column: pa.Array) -> pa.Array:
-        return pa.array([own.tobytes() for own in shingle_sets(column)], pa.binary())
-
-    @F.arrow_udf("boolean")
-    def link(left: pa.Array, right: pa.Array) -> pa.Array:
-        out = []
-        for x, y in zip(left, right, strict=True):
-            x, y = (np.frombuffer(v.as_buffer(), _U) for v in (x, y))
-            both = np.concatenate((x, y))
-            both.sort()
-            same = int((both[1:] == both[:-1]).sum())
-            out.append(100 * same >= SHARE * (len(both) - same) > 0)
-        return pa.array(out, pa.bool_())
-
-    sets = _wanted(docs, ids).select(F.col("doc_id").alias("id"), token_set("text").alias("s"))
-    sets = stash(sets, "sets")
+    def rows(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        def batch() -> pa.RecordBatch:
+            ends = np.cumsum([0, *map(len, held)])
+            lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(held).view(np.int64)))
+            return pa.RecordBatch.from_arrays([pa.array(docs_held, pa.int64()), lists], ["id", "s"])
+
+        docs_held, held, n = [], [], 0
+        for doc, own in sets:
+            docs_held.append(doc)
+            held.append(own)
+            n += len(own)
+            if n >= RUN // 4:
+                yield batch()
+                docs_held, held, n = [], [], 0
+        if held:
+            yield batch()
+
+    sets = stash(Wanted(docs, ids).map(rows, "id long, s array<long>"), "sets")
     left = pairs.join(sets.select(F.col("id").alias("ia"), F.col("s").alias("sa")), F.col("b") == F.col("ia"))
     whole = left.join(sets.select(F.col("id").alias("ib"), F.col("s").alias("sb")), F.col("a") == F.col("ib"))
-    out = stash(whole.where(link("sa", "sb")).select("a", "b").distinct(), "links")
+    same = F.size(F.array_intersect("sa", "sb"))
+    linked = whole.select("a", "b", same.alias("same"), (F.size("sa") + F.size("sb")).alias("both")).where(F.lit(100) * F.col("same") >= F.lit(SHARE) * (F.col("both") - F.col("same")))
+    out = stash(linked.select("a", "b").distinct(), "links")
     discard(sets)
     release(docs.sparkSession)
     return out
@@ -416,23 +475,35 @@ def components(links: DataFrame) -> DataFrame:
 def jaccard_components(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id of every row of docs (doc_id, text)."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    with batches_of(spark, BATCH):
+        return _components_of(docs.select("doc_id", "text"))
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
     own = stash(docs.select("doc_id", summary(F.col("text")).alias("s")).select("doc_id", "s.n", "s.a", "s.b"), "summaries")
     classes = own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
     classes = stash(classes, "classes")
     n_tokens = classes.agg(F.sum("n")).first()[0] or 0
-    firsts = _wanted(docs, classes.where("n > 3").select(F.col("first").alias("doc_id")))
+    firsts = Wanted(docs, classes.where("n > 3").select(F.col("first").alias("doc_id")))
     frequent = stash(frequent_tokens(firsts, n_tokens), "frequent")
     bitmap = class_bitmap(frequent)
     release(spark)
     runs, paired = index(firsts, bitmap, n_tokens)
 
     # Candidates: of rare tokens, all; of pairs of frequent tokens, each document with the pair's smallest.
-    head = paired.groupBy(F.col("sig").alias("sig2")).agg(F.min(F.struct("doc", "n")).alias("h"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    starred = paired.join(head, F.col("sig") == F.col("sig2")).where(F.col("doc") != F.col("h.doc")).where(_can_link("n", "h.n")).select(F.col("h.doc").alias("a"), F.col("doc").alias("b"))
-    candidates = stash(rare_candidates(runs, _part_bits(n_tokens // N)).unionByName(starred.withColumn("c", F.lit(1).cast("long"))).groupBy("a", "b").agg(F.sum("c").alias("c")), "candidates")
+    # Of a pair's documents of about one size, the first is the one that lacks least of what is frequent: of a group of near
+    # copies, the one most like all. Documents meet the first of their own size and of the next larger one.
+    size = F.floor(F.log(F.col("n").cast("double")) / F.log(F.lit(BAND))).cast("int")
+    first = F.min(F.struct((F.col("n") - F.col("nf")).alias("lack"), F.col("doc"), F.col("n"), F.col("nf"), F.col("q")))
+    head = paired.groupBy(F.col("sig").alias("sig2"), size.alias("size")).agg(first.alias("h")).select("sig2", "h", F.explode(F.array("size", F.col("size") - 1)).alias("size2"))
+    starred = paired.join(head, (F.col("sig") == F.col("sig2")) & (size == F.col("size2")) & (F.col("doc") != F.col("h.doc")) & _near("n", "h.n", "nf", "h.nf", "q", "h.q"))
+    starred = starred.select(F.least("doc", "h.doc").alias("a"), F.greatest("doc", "h.doc").alias("b"))
+    candidates = stash(may_link(rare_candidates(runs, n_tokens // N)).unionByName(starred.withColumn("c", F.lit(1).cast("long"))).groupBy("a", "b").agg(F.sum("c").alias("c")), "candidates")
     release(spark)
-    likeliest = stash(candidates.groupBy("b").agg(F.max_by("a", F.struct(F.col("c"), -F.col("a"))).alias("a")).select("a", "b"), "likeliest")
+    both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
+    likeliest = both.groupBy("b").agg(F.max_by("a", F.struct(F.col("c"), -F.col("a"))).alias("a"))
+    likeliest = stash(likeliest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likeliest")
     links = verified(likeliest, docs)
     joined = stash(components(links), "components")
 
@@ -441,9 +512,10 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
     left = label(label(candidates, "a"), "b").where("ka <> kb").select("a", "b")
     split = label(paired, "doc")
     mixed = split.groupBy(F.col("sig").alias("sig2")).agg(F.min("kdoc").alias("lo"), F.max("kdoc").alias("hi")).where("lo <> hi").select("sig2")
-    split = stash(split.join(mixed, F.col("sig") == F.col("sig2")).select("sig", "doc", "n", "kdoc"), "split")
-    other = split.select("sig", F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("kdoc").alias("kdoc2"))
-    across = split.join(other, "sig").where("kdoc < kdoc2").where(_can_link("n", "n2")).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
+    split = stash(split.join(mixed, F.col("sig") == F.col("sig2")).select("sig", "doc", "n", "nf", "q", "kdoc"), "split")
+    other = split.select(F.col("sig").alias("sig3"), F.col("doc").alias("doc2"), F.col("n").alias("n2"), F.col("nf").alias("nf2"), F.col("q").alias("q2"), F.col("kdoc").alias("kdoc2"))
+    # Documents that share a rare token are among the candidates; others share frequent tokens only.
+    across = split.join(other, (F.col("sig") == F.col("sig3")) & (F.col("kdoc") < F.col("kdoc2")) & _near("n", "n2", "nf", "nf2", "q", "q2")).select(F.least("doc", "doc2").alias("a"), F.greatest("doc", "doc2").alias("b"))
     rest = left.unionByName(across).distinct().join(likeliest.select(F.col("a").alias("a2"), F.col("b").alias("b2")), (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")), "left_anti")
     rest = stash(rest, "rest")
     if not rest.isEmpty():
