@@ -276,6 +276,8 @@ SELECT signal_id, i AS n, {R(f"sum((CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END)
     three = "(VALUES (-1, 1), (0, 2), (1, 1))"
     q["convolve_2d_fast"] = f"WITH {E} {fast} FROM (SELECT signal_id, ((n // 8 + a.d + 8) % 8) * 8 + (n % 8 + b.d + 8) % 8 AS i, x * a.w * b.w / 16e0 AS p FROM e CROSS JOIN {three} AS a(d, w) CROSS JOIN {three} AS b(d, w)) GROUP BY signal_id, i"
     q["lowpass_fast"] = f"WITH {filtered('e', 8, 8, low)} SELECT image_id AS signal_id, CAST(r * 8 + c AS INTEGER) AS i, {R('v')} AS value FROM y2"
+    q["cqt_free"] = f"""WITH {E}, {CQT_KERNEL}, zc AS (SELECT signal_id, kn.bin, sum(x * re) AS re, sum(x * im) AS im FROM e JOIN kn ON e.n = 64 - len + kn.n GROUP BY signal_id, kn.bin)
+SELECT signal_id, CAST(bin AS INTEGER) AS i, {R("sqrt(re * re + im * im)")} AS value FROM zc"""
     q["stream_spectra"] = f"WITH {E}, {frames('e', 16, 8, 0, 64, hann(16))}, {dft(16)} SELECT signal_id, CAST(frame AS BIGINT) AS frame, CAST(bin AS INTEGER) AS bin, {R('re * re + im * im')} AS value FROM z"
     q["stream_filter"] = f"WITH {E} SELECT signal_id, CAST(n + tap AS BIGINT) AS n, {R('sum(x * h)')} AS y FROM e CROSS JOIN {taps} WHERE n + tap < 64 GROUP BY signal_id, n + tap"
     return q
