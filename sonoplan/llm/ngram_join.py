@@ -532,10 +532,24 @@ def join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each component: that with the smallest doc_id; rows without doc_id stay."""
+    """One document of each component: that with the smallest doc_id; rows without doc_id stay.
+
+    A bitmap of fixed size says which documents may be among those that go; only these meet the list of them, so most texts
+    are not shuffled."""
     found = stash(jaccard_components(docs), "components")
-    kept = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("_kept")).agg(F.count(F.lit(1)).alias("_n"))
-    repeated = not kept.where("_n > 1").isEmpty()
-    out = docs.join(kept.select("_kept"), F.col("doc_id") == F.col("_kept"), "left_semi")
-    out = out.dropDuplicates(["doc_id"]) if repeated else out
-    return out.unionByName(docs.where(F.col("doc_id").isNull()))
+    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
+    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    bits = spark.sparkContext.broadcast(np.frombuffer(_bitmap(gone, _id_position(F.col("doc_id"))), np.uint8))
+
+    @F.arrow_udf("boolean")
+    def among(position: pa.Array) -> pa.Array:
+        return pa.array(_has(bits.value, position.to_numpy(zero_copy_only=False)))
+
+    marked = docs.select(F.struct(*docs.columns).alias("row"), among(F.coalesce(_id_position(F.col("doc_id")), F.lit(0))).alias("may"))
+    own = F.col("row.doc_id")
+    stays = marked.where(~F.col("may") | own.isNull())
+    judged = marked.where(F.col("may") & own.isNotNull()).join(gone.withColumnRenamed("doc_id", "gone"), own == F.col("gone"), "left_anti")
+    out = stays.unionByName(judged).select("row.*")
+    if repeated:
+        out = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
+    return out
