@@ -30,7 +30,7 @@ from .common import table, text_bytes
 #: Words of a phrase.
 WINDOW = 10
 #: Words after which a shard's index is built; bounds a worker's memory (about 100 bytes a word).
-SHARD_WORDS = 1 << 20
+SHARD_WORDS = 1 << 19
 #: Most benchmark items of which the phrases are sent to the executors at once.
 BLOCK_ITEMS = 20_000
 #: Every so many-th suffix position is kept.
@@ -284,9 +284,8 @@ def contamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def without_spans(text: str, spans: list[list[int]]) -> str:
+def without_spans(raw: bytes, spans: list[list[int]]) -> bytes:
     """The text less its words in spans; what stood around a span is parted by a line break."""
-    raw = text.encode()
     place = np.frombuffer(raw.translate(_WORDS), np.uint8) != 32
     edge = np.flatnonzero(np.diff(np.concatenate(([0], place.view(np.int8), [0]))))
     first, end = edge[::2], edge[1::2]
@@ -295,21 +294,24 @@ def without_spans(text: str, spans: list[list[int]]) -> str:
         out.append(raw[at : first[a]])
         at = int(end[b - 1])
     out.append(raw[at:])
-    return b"\n".join(out).decode()
+    return b"\n".join(out)
 
 
 def removal_udf(items: list[tuple[str, bytes]]):
-    """struct(text, n_words): the text without any occurrence, also of such as removals bring together, and its words."""
+    """struct(text, n_words): the text without any occurrence, also of such as removals bring together, and its words; text is null where nothing goes."""
 
     @F.arrow_udf("struct<text: string, n_words: long>")
     def of_text(column: pa.Array) -> pa.Array:
         phrases = _phrases(items)
-        texts = ["" if t is None else t for t in column.to_pylist()]
-        todo, n_words = list(range(len(texts))), [0] * len(texts)
-        while todo:
+        raw, starts = text_bytes(column)
+        n = len(starts) - 1
+        new: dict[int, bytes] = {}
+        n_words = np.zeros(n, np.int64)
+        todo = range(n)
+        while len(todo):
             again, batch, held = [], [], 0
             for place, k in enumerate(todo):
-                words = words_of(texts[k].encode())
+                words = words_of(new[k] if k in new else raw[starts[k] : starts[k + 1]].tobytes())
                 n_words[k] = len(words)
                 batch.append((k, list(map(phrases.number.get, words, repeat(0)))))
                 held += len(words) + 1
@@ -320,13 +322,15 @@ def removal_udf(items: list[tuple[str, bytes]]):
                     for j in np.unique(text):
                         own = slice(*np.searchsorted(text, [j, j + 1]))
                         i = batch[j][0]
-                        texts[i] = without_spans(texts[i], _merged(0, at[own], phrases.length[which[own]])[0])
+                        before = new[i] if i in new else raw[starts[i] : starts[i + 1]].tobytes()
+                        new[i] = without_spans(before, _merged(0, at[own], phrases.length[which[own]])[0])
                         again.append(i)
                     batch, held = [], 0
             todo = again
+        texts = [new[k].decode() if k in new else None for k in range(n)]
         return pa.StructArray.from_arrays([pa.array(texts, pa.string()), pa.array(n_words, pa.int64())], ["text", "n_words"])
 
-    return of_text
+    return of_text.asNondeterministic()  # so that the filter on its result does not run it a second time
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -334,7 +338,7 @@ def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     names = docs.columns
     for block in item_blocks(table(spark, sf_dir, "benchmark")):
         found = docs.withColumn("_new", removal_udf(block)("text"))
-        same = F.col("_new.text") == F.coalesce(F.col("text"), F.lit(""))
+        same = F.col("_new.text").isNull()
         changed = {"text": F.when(same, F.col("text")).otherwise(F.col("_new.text"))}
         if "n_chars" in names:
             changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length("_new.text").cast(docs.schema["n_chars"].dataType))
