@@ -344,3 +344,22 @@ def test_mixing_budget(spark):
 
 def test_digest_of_no_items():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0")
+
+
+def test_licences_of_full_texts_and_wrapped_headers(spark):
+    from pathlib import Path
+
+    folder = Path(licences.__file__).with_name("licence_texts")
+    full = {p.stem: p.read_text() for p in folder.glob("*.txt")}
+    owned = {n: "Copyright (c) 2001-2024 Some Body and others\n" + t for n, t in full.items()}
+    bsd = "/*\n * Copyright 2020 Somebody. All rights reserved.\n *\n * Redistribution and use in source and binary forms, with or without\n * modification, are permitted provided that the following conditions are met:\n */\nint x;"
+    gpl = "# This program is free software; you can redistribute it and/or modify\n# it under the terms of the GNU General Public License as published by\n# the Free Software Foundation; either version 2 of the License, or\n# (at your option) any later version.\nimport os"
+    rows = [(f"/{n}/LICENSE", t) for n, t in owned.items()] + [(f"/{n}/src/x.c", "int main;") for n in owned]
+    rows += [("/h/bsd.c", bsd), ("/h/gpl.py", gpl), ("/h/spdx.c", "// SPDX-License-Identifier: GPL-3.0-or-later\nint y;"), ("/i/isc.c", "// SPDX-License-Identifier: ISC\nint y;")]
+    rows += [("/p/prose", "The software of the work is in the house and the terms of the day are those of any other program that we know. " * 30)]
+    got = {r.path: (r.licence, r.origin) for r in licences.scan(spark.createDataFrame(rows, "path string, text string")).collect()}
+    assert len(full) == 8
+    for n in full:
+        assert got[f"/{n}/LICENSE"] == (n, "file") and got[f"/{n}/src/x.c"] == (n, "inherited"), n
+    assert got["/h/bsd.c"] == ("BSD-3-Clause", "header") and got["/h/gpl.py"] == ("GPL-2.0", "header")
+    assert got["/h/spdx.c"] == ("GPL-3.0", "header") and got["/i/isc.c"] == (None, None) and got["/p/prose"] == (None, None)
