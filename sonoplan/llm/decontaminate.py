@@ -8,7 +8,7 @@ position; the spans are merged to the words to remove. Words that no phrase has
 they cut the text, and stretches shorter than the shortest phrase are not indexed.
 
 The benchmark is read in blocks of at most BLOCK_ITEMS items, so what is sent to the executors is bounded;
-each block makes one pass over the documents. Nothing is shuffled as long as one block holds all items.
+each block makes one pass over the documents (of removal: in each round). Nothing is shuffled as long as one block holds all items.
 
 Defined results: null and empty texts have no words and are clean; items with null text or no words have no
 phrase; items with a null id take no part; items that share an id are one item; repeated documents are each
@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import table, text_bytes
+from .common import stash, table, text_bytes
 
 #: Words of a phrase.
 WINDOW = 10
@@ -256,6 +256,14 @@ def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> list[li
     return [[(r.item, r.text.encode()) for r in rows.where(part == k).sort("item", "text").toLocalIterator()] for k in range(parts)]
 
 
+def _joined(spans: Column) -> Column:
+    """Sorted spans, joined where they touch."""
+    return F.aggregate(
+        spans, F.array().cast("array<array<bigint>>"),
+        lambda acc, x: F.when((F.size(acc) > 0) & (x[0] <= F.element_at(acc, -1)[1]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x))),
+    )
+
+
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_words, spans (of words, merged), items of each document."""
     blocks = item_blocks(benchmark)
@@ -267,11 +275,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") ->
     for p in parts[1:]:
         whole = whole.unionByName(p)
     joined = whole.groupBy("_r").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("s"), F.array_distinct(F.flatten(F.collect_set(F.split("i", "\x01")))).alias("items"))
-    merged = F.aggregate(
-        "s", F.array().cast("array<array<bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x[0] <= F.element_at(acc, -1)[1]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x))),
-    )
-    return joined.select(F.col("_r.k").alias(key), "n_words", merged.alias("spans"), F.array_sort(F.filter("items", lambda x: x != "")).alias("items"))
+    return joined.select(F.col("_r.k").alias(key), "n_words", _joined(F.col("s")).alias("spans"), F.array_sort(F.filter("items", lambda x: x != "")).alias("items"))
 
 
 def contamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -333,14 +337,43 @@ def removal_udf(items: list[tuple[str, bytes]]):
     return of_text.asNondeterministic()  # so that the filter on its result does not run it a second time
 
 
+def cut_udf():
+    """struct(text, n_words): the text without its words in spans."""
+
+    @F.arrow_udf("struct<text: string, n_words: long>")
+    def of_text(column: pa.Array, spans: pa.Array) -> pa.Array:
+        raw, starts = text_bytes(column)
+        new = [without_spans(raw[starts[k] : starts[k + 1]].tobytes(), own) for k, own in enumerate(spans.to_pylist())]
+        return pa.StructArray.from_arrays([pa.array([t.decode() for t in new], pa.string()), pa.array([len(words_of(t)) for t in new], pa.int64())], ["text", "n_words"])
+
+    return of_text.asNondeterministic()
+
+
+def _put(found: DataFrame, docs: DataFrame, same: Column) -> DataFrame:
+    """The rows of found with the text (and n_chars) of _new where not same; a document of which no word is left goes."""
+    changed = {"text": F.when(same, F.col("text")).otherwise(F.col("_new.text"))}
+    if "n_chars" in docs.columns:
+        changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length("_new.text").cast(docs.schema["n_chars"].dataType))
+    return found.where(same | (F.col("_new.n_words") > 0)).withColumns(changed).select(*docs.columns)
+
+
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents without benchmark passages; one that is nothing but such passages goes; clean ones stay as they are."""
-    names = docs.columns
-    for block in item_blocks(table(spark, sf_dir, "benchmark")):
-        found = docs.withColumn("_new", removal_udf(block)("text"))
-        same = F.col("_new.text").isNull()
-        changed = {"text": F.when(same, F.col("text")).otherwise(F.col("_new.text"))}
-        if "n_chars" in names:
-            changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length("_new.text").cast(docs.schema["n_chars"].dataType))
-        docs = found.where(same | (F.col("_new.n_words") > 0)).withColumns(changed).select(*names)
-    return docs
+    """The documents without benchmark passages; one that is nothing but such passages goes; clean ones stay as they are.
+
+    Of several blocks, all blocks' spans are found on one and the same text, merged and cut at once, again until none is found: what
+    comes out does not depend on how items are dealt to blocks. Each round takes words away, so the rounds end."""
+    blocks = item_blocks(table(spark, sf_dir, "benchmark"))
+    if len(blocks) == 1:
+        return _put(docs.withColumn("_new", removal_udf(blocks[0])("text")), docs, F.col("_new.text").isNull())
+    clean, todo = None, docs
+    while True:
+        found = todo.withColumn("_sp", F.array().cast("array<array<bigint>>"))
+        for block in blocks:
+            # Written each time, so that an earlier block's spans are not searched again.
+            found = stash(found.withColumn("_sp", F.concat("_sp", scan(F.col("text"), block)["spans"])), "spans")
+        untouched = found.where(F.size("_sp") == 0).select(*docs.columns)
+        clean = untouched if clean is None else clean.unionByName(untouched)
+        hit = found.where(F.size("_sp") > 0).withColumn("_new", cut_udf()("text", _joined(F.array_sort("_sp"))))
+        todo = stash(_put(hit, docs, F.lit(False)), "cut")
+        if todo.isEmpty():
+            return clean
