@@ -2,14 +2,16 @@
 
 Entities are e-mail addresses, telephone numbers, payment cards, IPv4 addresses, social security numbers, secrets
 (passwords, tokens, access keys) and names after a form of address. Each distinct entity gets a surrogate of its
-type: letters become letters of the same script and case, digits digits, marks stay; hexadecimal secrets stay
+type: letters become letters of the same script and case (those of no script in SCRIPTS: ASCII ones), digits digits, marks stay; hexadecimal secrets stay
 hexadecimal; a card keeps its Luhn remainder, an IPv4 address its four parts; a given name is replaced from the
 names of the gender that the form of address says. The surrogate's letters come from a digest of key, type,
 attempt and normal form, so one entity has one surrogate in all documents (spellings of a telephone or card
 number, and of an address in other cases, share theirs, each in its own format).
 
 Collisions are looked for over all entities: a surrogate that another entity got first, or that is itself an
-entity of the corpus, is drawn again with the next attempt until none is left.
+entity of the corpus, is drawn again with the next attempt until none is left. After every ATTEMPTS attempts it is drawn one character longer
+(but for IPv4 addresses, which are never so many), so that short entities cannot use up their surrogates. What has no letter or digit
+(blank forms, masked values) is no secret.
 
 Only documents with an entity are shuffled: each leaves one row for each of its entities (its text stays with the
 first) that meets the entity's surrogate, and is put together again by row. Entities that stand in many rows are
@@ -30,13 +32,13 @@ from pyspark.sql import functions as F
 from .common import stash, table
 
 KEY = "surrogates-1"
-#: Attempts after which a stubborn collision is an error.
-MOST_ATTEMPTS = 60
+#: Attempts after which a stubborn collision's surrogate is drawn a character longer, and so on.
+ATTEMPTS = 60
 
 #: What an entity of each type looks like. The first that matches a found string names its type.
 TYPES = {
     "email": r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9\-]+(?:\.[A-Za-z0-9\-]+)*\.[A-Za-z]{2,}",
-    "secret": r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?[A-Za-z0-9_/+.\-]{8,}",
+    "secret": r"(?i:password|passwd|pwd|secret|token|api[_\-]?key|access[_\-]?key)\s{0,3}[=:]\s{0,3}[\"']?(?=[_/+.\-]*[A-Za-z0-9])[A-Za-z0-9_/+.\-]{8,}",
     "access": r"\bA[KS]IA[A-Z0-9]{16}\b",
     "card": r"(?<![0-9])(?:[0-9]{4}[ \-]?){3}[0-9]{4}(?![0-9])|(?<![0-9])3[47][0-9]{2}[ \-]?[0-9]{6}[ \-]?[0-9]{5}(?![0-9])",
     "ipv4": r"(?<![0-9.])(?:(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])\.){3}(?:25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])(?![0-9]|\.[0-9])",
@@ -80,7 +82,7 @@ def _letters(norm: Column, stream: Column, hexadecimal: Column, digits_only_from
         out = F.when(i < digits_only_from, c).when(c.rlike("[0-9]"), (n % 10).cast("string")).when(hexadecimal & c.rlike("[a-f]"), pick("abcdef"))
         for span, letters in SCRIPTS.items():
             out = out.when(c.rlike(f"[{span}]"), pick(letters))
-        return out.otherwise(c)
+        return out.when(c.rlike(r"\p{L}"), pick(SCRIPTS["a-z"])).otherwise(c)
 
     return F.array_join(F.transform(F.sequence(F.lit(0), F.length(norm) - 1), one), "")
 
@@ -113,13 +115,18 @@ def normal_form(kind: Column, found: Column) -> Column:
 
 def surrogate(kind: Column, norm: Column, attempt: Column) -> Column:
     """The attempt's surrogate of a normal form."""
-    return _let(_stream(kind, norm, attempt), lambda stream: _of_stream(kind, norm, stream))
+    more = F.when(kind == "ipv4", 0).otherwise(F.floor(attempt / ATTEMPTS)).cast("int")
+    longer = (
+        F.when(kind == "email", F.concat(F.repeat(F.lit("a"), more), norm)).when(kind.isin("card", "phone", "ssn"), F.concat(norm, F.repeat(F.lit("0"), more)))
+        .when(kind == "access", F.concat(norm, F.repeat(F.lit("A"), more))).otherwise(F.concat(norm, F.repeat(F.lit("a"), more)))
+    )
+    return _let(F.struct(longer.alias("norm"), _stream(kind, longer, attempt).alias("stream"), more.alias("more")), lambda x: _of_stream(kind, x["norm"], x["stream"], x["more"]))
 
 
-def _of_stream(kind: Column, norm: Column, stream: Column) -> Column:
+def _of_stream(kind: Column, norm: Column, stream: Column, more: Column) -> Column:
     lower, n = F.lower(norm), F.length(norm)
     # A telephone number keeps the country's code, an access key its first four letters, an address its last label.
-    head = F.when((kind == "phone") & (n > 10), n - 10).when(kind == "access", 4).otherwise(0)
+    head = F.when((kind == "phone") & (n - more > 10), n - more - 10).when(kind == "access", 4).otherwise(0)
     letters = _letters(lower, stream, (kind == "secret") & lower.rlike("^[0-9a-f]+$"), head)
 
     def cased(drawn: Column) -> Column:
@@ -151,7 +158,8 @@ def formatted(kind: Column, found: Column, drawn: Column) -> Column:
     c = lambda i: F.substr(found, i + 1, F.lit(1))
     digits = F.array_join(F.transform(places, lambda i: F.when(c(i).rlike("[0-9]"), F.substr(drawn, at(i), F.lit(1))).otherwise(c(i))), "")
     cases = F.array_join(F.transform(places, lambda i: F.when(c(i).rlike(r"\p{Lu}"), F.upper(F.substr(drawn, i + 1, F.lit(1)))).otherwise(F.substr(drawn, i + 1, F.lit(1)))), "")
-    return F.when(kind.isin("card", "phone", "ssn"), digits).when(kind == "email", cases).when(kind == "secret", F.concat(F.regexp_extract(found, _SECRET_HEAD, 0), drawn)).otherwise(drawn)
+    rest = lambda n: F.substr(drawn, n + 1, F.lit(1 << 20))  # noqa: E731  (what was drawn longer)
+    return F.when(kind.isin("card", "phone", "ssn"), F.concat(digits, rest(at(F.length(found))))).when(kind == "email", F.concat(cases, rest(F.length(found)))).when(kind == "secret", F.concat(F.regexp_extract(found, _SECRET_HEAD, 0), drawn)).otherwise(drawn)
 
 
 def found_in(text: Column) -> Column:
@@ -182,8 +190,6 @@ def surrogates(entities: DataFrame) -> DataFrame:
         if bad.isEmpty():
             return done
         attempt += 1
-        if attempt > MOST_ATTEMPTS:
-            raise RuntimeError("some entities find no surrogate of their own")
         todo = bad.select("_ki", "_no", F.lit(attempt).alias("_at"))
 
 
