@@ -10,7 +10,13 @@ from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+#: log2 of the bits of a bitmap (2 MB): a fixed size, whatever the number of rows.
+BITMAP = 24
+#: A key is hot if it has this part of all rows or more; so there are no more hot keys than this.
+HOT = 1000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -18,10 +24,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors see: spark.checkpoint.dir; a local one is set only where none is set."""
+    """The folder that the driver and all executors see: spark.checkpoint.dir; where none is set, a new one, in local mode only."""
     sc = spark.sparkContext
     found = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not found:
+        if not sc.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = tempfile.mkdtemp(prefix="sonoplan-shared-")
         sc.setCheckpointDir(f"file://{found}")
         found = f"file://{found}"
@@ -62,13 +70,46 @@ def release(spark: SparkSession) -> None:
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Plans made inside hand at most so many rows at a time to Python: long texts then take little memory at once."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(key)
-    spark.conf.set(key, str(min(rows, int(before) if int(before) > 0 else rows)))
+    keys = "spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"
+    before = [spark.conf.get(k) for k in keys]
+    for k, b in zip(keys, before, strict=True):
+        spark.conf.set(k, str(min(rows, int(b) if int(b) > 0 else rows)))
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for k, b in zip(keys, before, strict=True):
+            spark.conf.set(k, b)
+
+
+def bitmap(rows: DataFrame, position: Column) -> bytes:
+    """A bitmap of 2^BITMAP bits, some of whose positions rows have; it is put together by parts of 4 KB."""
+    parts = rows.select(position.cast("long").alias("p")).groupBy(F.shiftright("p", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits")).collect()
+    out = bytearray(1 << (BITMAP - 3))
+    for r in parts:
+        out[r.k * 4096 : r.k * 4096 + len(r.bits)] = r.bits
+    return bytes(out)
+
+
+def has_bit(bits: np.ndarray, position: np.ndarray) -> np.ndarray:
+    return (bits[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
+
+
+def position_of(*columns: Column) -> Column:
+    """The place of a key in a bitmap."""
+    return F.shiftrightunsigned(F.xxhash64(*columns), 64 - BITMAP)
+
+
+def meet_hot(left: DataFrame, key: Column, salt: Column, right: DataFrame, total: int) -> DataFrame:
+    """Left join of left with right (_key string, unique; _value; _n: rows of left that have the key): left's columns and _value.
+
+    Hot keys, HOT of them at most, come from a broadcast table; their rows then go to a task by salt, so no task gets more
+    of one key than a HOT-th of all rows."""
+    hot = right.where(F.col("_n") * HOT >= total).select(F.col("_key").alias("_hot_key"), F.struct("_value").alias("_hot"))
+    met = left.withColumn("_own", key).join(F.broadcast(hot), F.col("_own") == F.col("_hot_key"), "left")
+    met = met.withColumn("_own", F.when(F.col("_hot").isNull(), F.col("_own")).otherwise(F.concat(F.lit("\0"), salt.cast("string"))))
+    cold = right.select("_key", "_value")
+    whole = met.join(cold, F.col("_own") == F.col("_key"), "left")
+    return whole.select(*left.columns, F.when(F.col("_hot").isNotNull(), F.col("_hot._value")).otherwise(F.col("_value")).alias("_value"))
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

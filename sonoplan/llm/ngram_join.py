@@ -38,14 +38,12 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import batches_of, discard, release, slices, stash, table, text_bytes
+from .common import BITMAP, batches_of, bitmap, discard, has_bit, position_of, release, slices, stash, table, text_bytes
 
 N = 5
 SHARE = 80
 #: A token of so many documents is frequent, if the bitmap allows.
 FREQUENT = 32
-#: log2 of the bits of the bitmaps of frequent tokens and of wanted documents (2 MB each).
-BITMAP = 24
 #: Tokens or postings that a task sorts at a time; that a part of the exchange, and a task that reads parts, hold about.
 RUN, PART, READ = 1 << 19, 1 << 17, 1 << 20
 #: Words of 64 parity bits of a set.
@@ -131,30 +129,13 @@ def summary(text: Column) -> Column:
     return of_text(text)
 
 
-def _bitmap(rows: DataFrame, position: Column) -> bytes:
-    """A bitmap of 2^BITMAP bits, some of whose positions rows have; it is put together by parts of 4 KB."""
-    parts = rows.select(position.cast("long").alias("p")).groupBy(F.shiftright("p", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits")).collect()
-    out = bytearray(1 << (BITMAP - 3))
-    for r in parts:
-        out[r.k * 4096 : r.k * 4096 + len(r.bits)] = r.bits
-    return bytes(out)
-
-
-def _has(bits: np.ndarray, position: np.ndarray) -> np.ndarray:
-    return (bits[position >> 3] >> (position & 7).astype(np.uint8)) & 1 == 1
-
-
-def _id_position(doc_id: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(doc_id), 64 - BITMAP)
-
-
 class Wanted:
     """Texts whose doc_id is one of ids (doc_id), and a few others: told by a bitmap of fixed size, inside the function that reads them."""
 
     def __init__(self, docs: DataFrame, ids: DataFrame):
-        bits = _bitmap(ids, _id_position(F.col("doc_id")))
+        bits = bitmap(ids, position_of(F.col("doc_id")))
         self.bits = docs.sparkSession.sparkContext.broadcast(np.frombuffer(bits, np.uint8))
-        self.docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", _id_position(F.col("doc_id")).alias("p"))
+        self.docs = docs.where(F.col("doc_id").isNotNull()).select("doc_id", "text", position_of(F.col("doc_id")).alias("p"))
 
     def map(self, f: Callable[[Iterator[tuple[int, np.ndarray]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """f of the (doc_id, set) of each task's texts."""
@@ -163,7 +144,7 @@ class Wanted:
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             def sets() -> Iterator[tuple[int, np.ndarray]]:
                 for batch in batches:
-                    batch = batch.filter(pa.array(_has(shared.value, batch.column(2).to_numpy())))
+                    batch = batch.filter(pa.array(has_bit(shared.value, batch.column(2).to_numpy())))
                     yield from zip(batch.column(0).to_pylist(), shingle_sets(batch.column(1)), strict=True)
 
             return f(sets())
@@ -243,7 +224,7 @@ def class_bitmap(frequent: DataFrame) -> bytes:
     while left > 1 << (BITMAP - 4):
         left -= sizes.get(level, 0)
         level += 1
-    return _bitmap(frequent.where(F.col("n") >= 1 << level), F.col("position"))
+    return bitmap(frequent.where(F.col("n") >= 1 << level), F.col("position"))
 
 
 def _bands(n: int) -> set[int]:
@@ -289,7 +270,7 @@ def index(docs: Wanted, classes: bytes, n_tokens: int) -> tuple[DataFrame, DataF
     shared = docs.docs.sparkSession.sparkContext.broadcast(np.frombuffer(classes, np.uint8))
 
     def postings(sets: Iterator[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
-        bitmap = shared.value
+        frequent = shared.value
         tokens, ids, sizes, n = [], [], [], 0
 
         def rows(part, run, sig, doc, size, common, parity) -> pa.RecordBatch:
@@ -316,7 +297,7 @@ def index(docs: Wanted, classes: bytes, n_tokens: int) -> tuple[DataFrame, DataF
         for doc, own in sets:
             if len(own) < 4:  # of sets this small, only equal ones reach the share
                 continue
-            rare, pairs = prefix(own, _has(bitmap, (own >> _U(64 - BITMAP)).astype(np.int64)))
+            rare, pairs = prefix(own, has_bit(frequent, (own >> _U(64 - BITMAP)).astype(np.int64)))
             if len(rare):
                 tokens.append(rare)
                 ids.append(doc)
@@ -487,9 +468,9 @@ def _components_of(docs: DataFrame) -> DataFrame:
     n_tokens = classes.agg(F.sum("n")).first()[0] or 0
     firsts = Wanted(docs, classes.where("n > 3").select(F.col("first").alias("doc_id")))
     frequent = stash(frequent_tokens(firsts, n_tokens), "frequent")
-    bitmap = class_bitmap(frequent)
+    classes_of_tokens = class_bitmap(frequent)
     release(spark)
-    runs, paired = index(firsts, bitmap, n_tokens)
+    runs, paired = index(firsts, classes_of_tokens, n_tokens)
 
     # Candidates: of rare tokens, all; of pairs of frequent tokens, each document with the pair's smallest.
     # Of a pair's documents of about one size, the first is the one that lacks least of what is frequent: of a group of near
@@ -539,13 +520,13 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     found = stash(jaccard_components(docs), "components")
     gone = found.where("doc_id <> component_id").select("doc_id").distinct()
     repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    bits = spark.sparkContext.broadcast(np.frombuffer(_bitmap(gone, _id_position(F.col("doc_id"))), np.uint8))
+    bits = spark.sparkContext.broadcast(np.frombuffer(bitmap(gone, position_of(F.col("doc_id"))), np.uint8))
 
     @F.arrow_udf("boolean")
     def among(position: pa.Array) -> pa.Array:
-        return pa.array(_has(bits.value, position.to_numpy(zero_copy_only=False)))
+        return pa.array(has_bit(bits.value, position.to_numpy(zero_copy_only=False)))
 
-    marked = docs.select(F.struct(*docs.columns).alias("row"), among(F.coalesce(_id_position(F.col("doc_id")), F.lit(0))).alias("may"))
+    marked = docs.select(F.struct(*docs.columns).alias("row"), among(F.coalesce(position_of(F.col("doc_id")), F.lit(0))).alias("may"))
     own = F.col("row.doc_id")
     stays = marked.where(~F.col("may") | own.isNull())
     judged = marked.where(F.col("may") & own.isNotNull()).join(gone.withColumnRenamed("doc_id", "gone"), own == F.col("gone"), "left_anti")

@@ -31,6 +31,21 @@ def test_archive_round_trip(spark):
     assert warc.read_packages(warc.archive(pages.limit(0))).count() == 0
 
 
+@pytest.mark.parametrize("full", [False, True])
+def test_many_copies_of_one_page(spark, monkeypatch, full):
+    """A third of all rows are one payload; also where the bitmaps are so full that they tell nothing."""
+    if full:
+        monkeypatch.setattr(warc, "bitmap", lambda rows, position: bytes([255]) * (1 << 21))
+    monkeypatch.setattr(warc, "RECORDS_A_READ", 64)
+    monkeypatch.setattr(warc, "PACKAGE_BYTES", 1 << 14)
+    pages = spark.range(1, 3001).select(F.col("id").alias("page_id"), F.lit("u").alias("url"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("hot"), 100)).otherwise(F.repeat(F.col("id").cast("string"), 100)).alias("html"))
+    out = warc.read_packages(warc.archive(pages.repartition(6)))
+    assert out.rdd.getNumPartitions() > 1
+    rows = out.collect()
+    assert len(rows) == 3000 and len({r.page_id for r in rows}) == 3000
+    assert all((r.record_type, r.refers_to) == (("revisit", 3) if r.page_id % 3 == 0 and r.page_id != 3 else ("response", None)) for r in rows)
+
+
 @pytest.mark.parametrize("zip64", [False, True])
 def test_directories(tmp_path, zip64):
     data = b"".join(warc.package([("a/b", [b"one", b"two"]), ("c", [b"three"])], zip64))
