@@ -7,17 +7,19 @@ at once, last word first, two ranks a step; the rows found are located by steppi
 position; the spans are merged to the words to remove. Words that no phrase has cannot be in an occurrence:
 they cut the text, and stretches shorter than the shortest phrase are not indexed.
 
-The benchmark is read in blocks of at most BLOCK_ITEMS items, so what is sent to the executors is bounded;
-each block makes one pass over the documents (of removal: in each round). Nothing is shuffled as long as one block holds all items.
+The benchmark is read in blocks of at most about BLOCK_ITEMS items and BLOCK_BYTES of text, one at a time, so what the driver
+holds and the executors get is bounded; each block makes one pass over the documents (of removal: in each round), which adds its
+spans and items to those of the blocks before, and what comes out is the same for any number of blocks. Nothing is shuffled; between
+passes the documents are written to the shared folder.
 
 Defined results: null and empty texts have no words and are clean; items with null text or no words have no
-phrase; items with a null id take no part; items that share an id are one item; repeated documents are each
-searched; other columns, whatever their names, are never read.
+phrase; items with a null id take no part, the empty id is one like any other; items that share an id are one item; repeated
+documents are each searched, with or without a key; other columns, whatever their names, stay as they are (removal) or are never read.
 """
 
 from __future__ import annotations
 
-import hashlib
+from collections.abc import Iterator
 from itertools import repeat
 
 import numpy as np
@@ -25,14 +27,14 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table, text_bytes
+from .common import discard, stash, table, text_bytes
 
 #: Words of a phrase.
 WINDOW = 10
 #: Words after which a shard's index is built; bounds a worker's memory (about 100 bytes a word).
 SHARD_WORDS = 1 << 19
-#: Most benchmark items of which the phrases are sent to the executors at once.
-BLOCK_ITEMS = 20_000
+#: Most benchmark items, and bytes of their texts, of which the phrases are sent to the executors at once (one longer item aside).
+BLOCK_ITEMS, BLOCK_BYTES = 20_000, 32 << 20
 #: Every so many-th suffix position is kept.
 SAMPLE = 16
 
@@ -191,38 +193,37 @@ def occurrences(texts: list[list[int]], phrases: Phrases) -> tuple[np.ndarray, n
     return text, at - begin[text], which
 
 
-def _merged(n_words: int, first: np.ndarray, length: np.ndarray) -> tuple[list[list[int]], int]:
-    """Spans [first, end) of words, joined where they touch, and how many words they hold."""
+def _merged(pairs: list[tuple[int, int]]) -> list[list[int]]:
+    """Spans [first, end) of words, in order, joined where they touch."""
     spans: list[list[int]] = []
-    for a, b in sorted(zip(first.tolist(), (first + length).tolist(), strict=True)):
+    for a, b in sorted(pairs):
         if spans and a <= spans[-1][1]:
             spans[-1][1] = max(spans[-1][1], b)
         else:
             spans.append([a, b])
-    return spans, sum(b - a for a, b in spans)
+    return spans
 
 
-def scan(text: Column, items: list[tuple[str, bytes]], shard_words: int = SHARD_WORDS) -> Column:
-    """struct(n_words, spans, items) of each whole text."""
+def _by_text(shard: list[list[int]], phrases: Phrases) -> Iterator[tuple[int, list[tuple[int, int]], np.ndarray]]:
+    """(text, its spans, the phrases that occur in it) of the texts of a shard that have an occurrence."""
+    text, at, which = occurrences(shard, phrases)
+    order = np.argsort(text, kind="stable")
+    text, at, which = text[order], at[order], which[order]
+    for k in np.unique(text):
+        own = slice(*np.searchsorted(text, [k, k + 1]))
+        yield int(k), list(zip(at[own].tolist(), (at[own] + phrases.length[which[own]]).tolist(), strict=True)), np.unique(which[own])
+
+
+def scan(text: Column, spans: Column, names: Column, items: list[tuple[str, bytes]], shard_words: int = SHARD_WORDS) -> Column:
+    """struct(n_words, spans, items) of each whole text: spans and names are those of the blocks before, to which this one's are added."""
 
     @F.arrow_udf("struct<n_words: long, spans: array<array<long>>, items: array<string>>")
-    def of_text(column: pa.Array) -> pa.Array:
+    def of_text(column: pa.Array, earlier: pa.Array, named: pa.Array) -> pa.Array:
         phrases = _phrases(items)
         raw, starts = text_bytes(column)
         n = len(starts) - 1
         n_words = np.zeros(n, np.int64)
-        spans: list[list[list[int]]] = [[] for _ in range(n)]
-        found: list[list[str]] = [[] for _ in range(n)]
-
-        def close(first: int, shard: list[list[int]]) -> None:
-            text, at, which = occurrences(shard, phrases)
-            order = np.argsort(text, kind="stable")
-            text, at, which = text[order], at[order], which[order]
-            for k in np.unique(text):
-                own = slice(*np.searchsorted(text, [k, k + 1]))
-                spans[first + k] = _merged(len(shard[k]), at[own], phrases.length[which[own]])[0]
-                found[first + k] = sorted({item for w in np.unique(which[own]) for item in phrases.owners[w]})
-
+        found, listed = earlier.to_pylist(), named.to_pylist()
         shard, first, held = [], 0, 0
         for k in range(n):
             words = words_of(raw[starts[k] : starts[k + 1]].tobytes())
@@ -230,11 +231,13 @@ def scan(text: Column, items: list[tuple[str, bytes]], shard_words: int = SHARD_
             shard.append(list(map(phrases.number.get, words, repeat(0))))
             held += len(words) + 1
             if held >= shard_words or k == n - 1:
-                close(first, shard)
+                for j, own, which in _by_text(shard, phrases):
+                    found[first + j] = _merged([*map(tuple, found[first + j]), *own])
+                    listed[first + j] = sorted({*listed[first + j], *(item for w in which for item in phrases.owners[w])})
                 shard, first, held = [], k + 1, 0
-        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(spans, pa.list_(pa.list_(pa.int64()))), pa.array(found, pa.list_(pa.string()))], ["n_words", "spans", "items"])
+        return pa.StructArray.from_arrays([pa.array(n_words), pa.array(found, pa.list_(pa.list_(pa.int64()))), pa.array(listed, pa.list_(pa.string()))], ["n_words", "spans", "items"])
 
-    return of_text(text)
+    return of_text(text, spans, names)
 
 
 _last: list = [None, None]
@@ -247,35 +250,44 @@ def _phrases(items: list[tuple[str, bytes]]) -> Phrases:
     return _last[1]
 
 
-def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> list[list[tuple[str, bytes]]]:
-    """The benchmark's items in blocks of bounded size; items of one id stay together."""
-    rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
-    n = rows.count()
-    parts = max(1, -(-n // block_items))
-    part = F.pmod(F.xxhash64("item"), F.lit(parts))
-    return [[(r.item, r.text.encode()) for r in rows.where(part == k).sort("item", "text").toLocalIterator()] for k in range(parts)]
+class ItemBlocks:
+    """The benchmark's items in blocks of bounded size, each read when it is asked for; items of one id stay together."""
 
+    def __init__(self, benchmark: DataFrame, block_items: int):
+        self.rows = benchmark.where("item_id is not null and text is not null").select(F.col("item_id").cast("string").alias("item"), "text")
+        n, size = self.rows.agg(F.count(F.lit(1)), F.sum(F.octet_length("text"))).first()
+        self.parts = max(1, -(-n // block_items), -(-(size or 0) // BLOCK_BYTES))
 
-def _joined(spans: Column) -> Column:
-    """Sorted spans, joined where they touch."""
-    return F.aggregate(
-        spans, F.array().cast("array<array<bigint>>"),
-        lambda acc, x: F.when((F.size(acc) > 0) & (x[0] <= F.element_at(acc, -1)[1]), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.array(F.element_at(acc, -1)[0], F.greatest(F.element_at(acc, -1)[1], x[1]))))).otherwise(F.concat(acc, F.array(x))),
-    )
+    def __len__(self) -> int:
+        return self.parts
+
+    def __iter__(self) -> Iterator[list[tuple[str, bytes]]]:
+        part = F.pmod(F.xxhash64("item"), F.lit(self.parts))
+        for k in range(self.parts):
+            yield [(r.item, r.text.encode()) for r in self.rows.where(part == k).sort("item", "text").toLocalIterator()]
+
+
+def item_blocks(benchmark: DataFrame, block_items: int = BLOCK_ITEMS) -> ItemBlocks:
+    return ItemBlocks(benchmark, block_items)
+
+
+def _found(docs: DataFrame, blocks: ItemBlocks, keep: list[str]) -> DataFrame:
+    """keep (columns of docs) and s: struct(n_words, spans, items) of the whole benchmark in docs' text."""
+    found = docs.select("text", *keep, F.struct(F.lit(0).cast("long").alias("n_words"), F.array().cast("array<array<bigint>>").alias("spans"), F.array().cast("array<string>").alias("items")).alias("s"))
+    before = None
+    for k, block in enumerate(blocks):
+        found = found.withColumn("s", scan(F.col("text"), F.col("s.spans"), F.col("s.items"), block))
+        if k < len(blocks) - 1:
+            found = stash(found, "found")
+            if before is not None:
+                discard(before)
+            before = found
+    return found
 
 
 def contamination(docs: DataFrame, benchmark: DataFrame, key: str = "doc_id") -> DataFrame:
     """key, n_words, spans (of words, merged), items of each document."""
-    blocks = item_blocks(benchmark)
-    if len(blocks) == 1:
-        return docs.select(F.col(key), scan(F.col("text"), blocks[0]).alias("_s")).select(key, "_s.n_words", "_s.spans", "_s.items")
-    keyed = docs.select(F.struct(F.col(key).alias("k"), F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("row")).alias("_r"), "text")
-    parts = [keyed.select("_r", scan(F.col("text"), b).alias("_s")).select("_r", "_s.n_words", F.explode_outer("_s.spans").alias("span"), F.array_join("_s.items", "\x01").alias("i")) for b in blocks]
-    whole = parts[0]
-    for p in parts[1:]:
-        whole = whole.unionByName(p)
-    joined = whole.groupBy("_r").agg(F.max("n_words").alias("n_words"), F.array_sort(F.collect_set("span")).alias("s"), F.array_distinct(F.flatten(F.collect_set(F.split("i", "\x01")))).alias("items"))
-    return joined.select(F.col("_r.k").alias(key), "n_words", _joined(F.col("s")).alias("spans"), F.array_sort(F.filter("items", lambda x: x != "")).alias("items"))
+    return _found(docs.select(F.col(key).alias("key"), "text"), item_blocks(benchmark), ["key"]).select(F.col("key").alias(key), "s.n_words", "s.spans", "s.items")
 
 
 def contamination_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -320,14 +332,10 @@ def removal_udf(items: list[tuple[str, bytes]]):
                 batch.append((k, list(map(phrases.number.get, words, repeat(0)))))
                 held += len(words) + 1
                 if held >= SHARD_WORDS or place == len(todo) - 1:
-                    text, at, which = occurrences([b for _, b in batch], phrases)
-                    order = np.argsort(text, kind="stable")
-                    text, at, which = text[order], at[order], which[order]
-                    for j in np.unique(text):
-                        own = slice(*np.searchsorted(text, [j, j + 1]))
+                    for j, own, _ in _by_text([b for _, b in batch], phrases):
                         i = batch[j][0]
                         before = new[i] if i in new else raw[starts[i] : starts[i + 1]].tobytes()
-                        new[i] = without_spans(before, _merged(0, at[own], phrases.length[which[own]])[0])
+                        new[i] = without_spans(before, _merged(own))
                         again.append(i)
                     batch, held = [], 0
             todo = again
@@ -349,31 +357,31 @@ def cut_udf():
     return of_text.asNondeterministic()
 
 
-def _put(found: DataFrame, docs: DataFrame, same: Column) -> DataFrame:
-    """The rows of found with the text (and n_chars) of _new where not same; a document of which no word is left goes."""
-    changed = {"text": F.when(same, F.col("text")).otherwise(F.col("_new.text"))}
+def _put(found: DataFrame, docs: DataFrame) -> DataFrame:
+    """row of found, with the text (and n_chars) of new where new has one; a document of which no word is left goes."""
+    same, text = F.col("new.text").isNull(), F.col("new.text")
+    kept = found.where(same | (F.col("new.n_words") > 0))
+    row = lambda c: F.col("row")[c]
+    changed = {"text": F.when(same, row("text")).otherwise(text)}
     if "n_chars" in docs.columns:
-        changed["n_chars"] = F.when(same, F.col("n_chars")).otherwise(F.length("_new.text").cast(docs.schema["n_chars"].dataType))
-    return found.where(same | (F.col("_new.n_words") > 0)).withColumns(changed).select(*docs.columns)
+        changed["n_chars"] = F.when(same, row("n_chars")).otherwise(F.length(text).cast(docs.schema["n_chars"].dataType))
+    return kept.select(*(changed.get(c, row(c)).alias(c) for c in docs.columns))
 
 
 def remove_benchmark(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents without benchmark passages; one that is nothing but such passages goes; clean ones stay as they are.
 
     Of several blocks, all blocks' spans are found on one and the same text, merged and cut at once, again until none is found: what
-    comes out does not depend on how items are dealt to blocks. Each round takes words away, so the rounds end."""
+    comes out does not depend on how items are dealt to blocks. Each round takes words away, so the rounds end. Of one block, the
+    function that searches does these rounds itself."""
     blocks = item_blocks(table(spark, sf_dir, "benchmark"))
     if len(blocks) == 1:
-        return _put(docs.withColumn("_new", removal_udf(blocks[0])("text")), docs, F.col("_new.text").isNull())
+        return _put(docs.select(F.struct(*docs.columns).alias("row"), removal_udf(*blocks)("text").alias("new")), docs)
     clean, todo = None, docs
     while True:
-        found = todo.withColumn("_sp", F.array().cast("array<array<bigint>>"))
-        for block in blocks:
-            # Written each time, so that an earlier block's spans are not searched again.
-            found = stash(found.withColumn("_sp", F.concat("_sp", scan(F.col("text"), block)["spans"])), "spans")
-        untouched = found.where(F.size("_sp") == 0).select(*docs.columns)
+        found = stash(_found(todo.select("text", F.struct(*docs.columns).alias("row")), blocks, ["row"]), "spans")
+        untouched = found.where(F.size("s.spans") == 0).select("row.*")
         clean = untouched if clean is None else clean.unionByName(untouched)
-        hit = found.where(F.size("_sp") > 0).withColumn("_new", cut_udf()("text", _joined(F.array_sort("_sp"))))
-        todo = stash(_put(hit, docs, F.lit(False)), "cut")
+        todo = stash(_put(found.where(F.size("s.spans") > 0).select("row", cut_udf()("text", "s.spans").alias("new")), docs), "cut")
         if todo.isEmpty():
             return clean
