@@ -67,6 +67,13 @@ def release(spark: SparkSession) -> None:
     spark.sparkContext._jvm.System.gc()
 
 
+def fresh(name: str, columns: list[str]) -> str:
+    """The name of a new column: name, with "_found" behind it as often as columns have it already."""
+    while name.lower() in map(str.lower, columns):
+        name += "_found"
+    return name
+
+
 @contextmanager
 def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
     """Plans made inside hand at most so many rows at a time to Python: long texts then take little memory at once."""
@@ -106,7 +113,7 @@ def meet_hot(left: DataFrame, key: Column, salt: Column, right: DataFrame, total
     of one key than a HOT-th of all rows."""
     hot = right.where(F.col("_n") * HOT >= total).select(F.col("_key").alias("_hot_key"), F.struct("_value").alias("_hot"))
     met = left.withColumn("_own", key).join(F.broadcast(hot), F.col("_own") == F.col("_hot_key"), "left")
-    met = met.withColumn("_own", F.when(F.col("_hot").isNull(), F.col("_own")).otherwise(F.concat(F.lit("\0"), salt.cast("string"))))
+    met = met.withColumn("_own", F.when(F.col("_hot").isNull() & F.col("_own").isNotNull(), F.col("_own")).otherwise(F.concat(F.lit("\0"), salt.cast("string"))))
     cold = right.select("_key", "_value")
     whole = met.join(cold, F.col("_own") == F.col("_key"), "left")
     return whole.select(*left.columns, F.when(F.col("_hot").isNotNull(), F.col("_hot._value")).otherwise(F.col("_value")).alias("_value"))
