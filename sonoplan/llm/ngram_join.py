@@ -23,8 +23,10 @@ bounds how many of a prefix can be missing: the prefix holds one token more than
 Components: large-star and small-star steps over the verified links, written to the shared folder each round.
 
 Defined results: null, empty and blank texts have empty sets and link with nothing; rows without doc_id have a
-null component and link with nothing; rows that share a doc_id are one vertex with the links of all its texts;
-other columns are never read.
+null component and link with nothing; rows that share a doc_id are one vertex with the links of all its texts, and have one
+component; other columns are never read.
+
+The result is components. Links are verified as far as components need them, so there is no number of links per document.
 """
 
 from __future__ import annotations
@@ -45,13 +47,15 @@ SHARE = 80
 #: A token of so many documents is frequent, if the bitmap allows.
 FREQUENT = 32
 #: Tokens or postings that a task sorts at a time; that a part of the exchange, and a task that reads parts, hold about.
-RUN, PART, READ = 1 << 19, 1 << 17, 1 << 20
+RUN, PART, READ = 1 << 19, 1 << 17, 1 << 19
 #: Words of 64 parity bits of a set.
 PARITY = 8
 #: Sizes of one band differ by this factor at most.
 BAND = 1.05
 #: Texts that a worker gets at a time.
-BATCH = 2000
+BATCH = 500
+#: Copies of a set, at most, for the pairs that it is in: a set with very many partners meets them in so many tasks.
+SALTS = 1024
 #: Frequent tokens of one group in a document of the band's least size.
 GROUP = 8
 
@@ -420,8 +424,14 @@ def verified(pairs: DataFrame, docs: DataFrame) -> DataFrame:
             yield batch()
 
     sets = stash(Wanted(docs, ids).map(rows, "id long, s array<long>"), "sets")
-    left = pairs.join(sets.select(F.col("id").alias("ia"), F.col("s").alias("sa")), F.col("b") == F.col("ia"))
-    whole = left.join(sets.select(F.col("id").alias("ib"), F.col("s").alias("sb")), F.col("a") == F.col("ib"))
+
+    def with_set(rows: DataFrame, side: str, other: str, name: str) -> DataFrame:
+        salt = F.pmod(F.xxhash64(other), F.lit(SALTS)).cast("int")
+        wanted = pairs.select(F.col(side).alias("w"), salt.alias("t")).distinct()
+        own = sets.join(wanted, F.col("id") == F.col("w")).select(F.col("id").alias(f"i{name}"), F.col("t").alias(f"t{name}"), F.col("s").alias(f"s{name}"))
+        return rows.join(own, (F.col(side) == F.col(f"i{name}")) & (salt == F.col(f"t{name}"))).drop(f"i{name}", f"t{name}")
+
+    whole = with_set(with_set(pairs, "b", "a", "b"), "a", "b", "a")
     same = F.size(F.array_intersect("sa", "sb"))
     linked = whole.select("a", "b", same.alias("same"), (F.size("sa") + F.size("sb")).alias("both")).where(F.lit(100) * F.col("same") >= F.lit(SHARE) * (F.col("both") - F.col("same")))
     out = stash(linked.select("a", "b").distinct(), "links")
@@ -466,6 +476,12 @@ def _components_of(docs: DataFrame) -> DataFrame:
     classes = own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
     classes = stash(classes, "classes")
     n_tokens = classes.agg(F.sum("n")).first()[0] or 0
+    # A doc_id with several texts is one vertex: it ties the classes of them.
+    several = own.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("x"), F.max(F.struct("n", "a", "b")).alias("y")).where("x <> y").select(F.col("doc_id").alias("vertex"))
+    of_class = classes.select(F.col("n").alias("n3"), F.col("a").alias("a3"), F.col("b").alias("b3"), "first")
+    tied = own.join(several, F.col("doc_id") == F.col("vertex")).join(of_class, (F.col("n") == F.col("n3")) & (F.col("a") == F.col("a3")) & (F.col("b") == F.col("b3")))
+    tied = stash(tied.select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b"), "vertex").distinct(), "tied")
+    ties = tied.where("a <> b").select("a", "b")
     firsts = Wanted(docs, classes.where("n > 3").select(F.col("first").alias("doc_id")))
     frequent = stash(frequent_tokens(firsts, n_tokens), "frequent")
     classes_of_tokens = class_bitmap(frequent)
@@ -485,7 +501,7 @@ def _components_of(docs: DataFrame) -> DataFrame:
     both = candidates.unionByName(candidates.select(F.col("b").alias("a"), F.col("a").alias("b"), "c"))
     likeliest = both.groupBy("b").agg(F.max_by("a", F.struct(F.col("c"), -F.col("a"))).alias("a"))
     likeliest = stash(likeliest.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "likeliest")
-    links = verified(likeliest, docs)
+    links = verified(likeliest, docs).unionByName(ties)
     joined = stash(components(links), "components")
 
     # What is left: candidates across components; of pairs of frequent tokens, also documents that are not their smallest.
@@ -505,7 +521,9 @@ def _components_of(docs: DataFrame) -> DataFrame:
     # A class's component is its first document's; a document without links is its class's first.
     named = classes.join(joined, F.col("first") == F.col("id"), "left").select(F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.coalesce("component", "first").alias("component"))
     out = own.join(named, (F.col("n") == F.col("n2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")) & F.col("doc_id").isNotNull(), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    of_vertex = tied.select("vertex").distinct().join(joined.select(F.col("id").alias("i4"), F.col("component").alias("c4")), F.col("vertex") == F.col("i4")).select("vertex", "c4")
+    out = out.join(of_vertex, F.col("doc_id") == F.col("vertex"), "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("c4", "component", "doc_id").alias("component_id"))
 
 
 def join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -515,22 +533,37 @@ def join_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each component: that with the smallest doc_id; rows without doc_id stay.
 
+    Where doc_ids repeat, rows are the vertices: of each component of rows that with the smallest doc_id stays, then that with the
+    smallest digest of its text, so unlike texts of one doc_id stay both."""
+    repeated = not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
+    if not repeated:
+        return _first_of_each(docs, "doc_id")
+    whole = stash(docs.select(F.struct(*docs.columns).alias("row")), "rows")
+    whole = stash(whole.select("row", F.monotonically_increasing_id().alias("place")), "rows")
+    known = whole.where("row.doc_id is not null")
+    found = stash(jaccard_components(known.select(F.col("place").alias("doc_id"), "row.text")), "components")
+    keys = known.select("place", F.struct("row.doc_id", F.sha2(F.col("row.text").cast("binary"), 256).alias("text"), F.xxhash64("row").alias("all"), "place").alias("key"))
+    first = found.join(keys, F.col("doc_id") == F.col("place")).groupBy("component_id").agg(F.min("key").alias("key")).select(F.col("key.place").alias("first"))
+    kept = whole.join(first, F.col("place") == F.col("first"), "left_semi").unionByName(whole.where("row.doc_id is null"))
+    return kept.select("row.*")
+
+
+def _first_of_each(docs: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is their component's, or null.
+
     A bitmap of fixed size says which documents may be among those that go; only these meet the list of them, so most texts
     are not shuffled."""
-    found = stash(jaccard_components(docs), "components")
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    repeated = not found.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty()
-    bits = spark.sparkContext.broadcast(np.frombuffer(bitmap(gone, position_of(F.col("doc_id"))), np.uint8))
+    spark = docs.sparkSession
+    found = stash(jaccard_components(docs.select(F.col(key).alias("doc_id"), "text")), "components")
+    gone = found.where("doc_id <> component_id").select(F.col("doc_id").alias("gone"))
+    bits = spark.sparkContext.broadcast(np.frombuffer(bitmap(gone, position_of(F.col("gone"))), np.uint8))
 
     @F.arrow_udf("boolean")
     def among(position: pa.Array) -> pa.Array:
         return pa.array(has_bit(bits.value, position.to_numpy(zero_copy_only=False)))
 
-    marked = docs.select(F.struct(*docs.columns).alias("row"), among(F.coalesce(position_of(F.col("doc_id")), F.lit(0))).alias("may"))
-    own = F.col("row.doc_id")
+    marked = docs.select(F.struct(*docs.columns).alias("row"), among(position_of(F.col(key))).alias("may"))
+    own = F.col("row")[key]
     stays = marked.where(~F.col("may") | own.isNull())
-    judged = marked.where(F.col("may") & own.isNotNull()).join(gone.withColumnRenamed("doc_id", "gone"), own == F.col("gone"), "left_anti")
-    out = stays.unionByName(judged).select("row.*")
-    if repeated:
-        out = out.where(F.col("doc_id").isNotNull()).dropDuplicates(["doc_id"]).unionByName(out.where(F.col("doc_id").isNull()))
-    return out
+    judged = marked.where(F.col("may") & own.isNotNull()).join(gone, own == F.col("gone"), "left_anti")
+    return stays.unionByName(judged).select("row.*")
