@@ -7,8 +7,15 @@ is below the worst kth score that the query node's vectors have so far. Pairs ar
 the kth scores rise early; leaves are scored by one matrix product. Each task keeps k rows a query; the rows
 of all tasks meet by query in a window of k rows a task.
 
-Queries are read in blocks of at most BLOCK_QUERIES; each block makes one pass over the data, so what is sent
-to the executors is bounded and no join pairs queries with rows.
+Of a cover tree's invariants these are kept: nesting (a node's centre is its first child's), separation (centres of one node's children
+are more than half its radius apart, as each is the point farthest from those before) and covering (all vectors below a node
+lie within its radius, which is measured, so the bounds hold whatever the tree's shape). Given up are fixed levels (radii shrink as the
+data say) and, where more than BRANCHES children would be needed, as in many dimensions, the cover by half the radius: the last
+children are then wider. That costs pruning, never a result.
+
+Queries are read in blocks of at most BLOCK_QUERIES and about BLOCK_BYTES; each block makes one pass over the data and leaves its k
+rows a query in the shared folder before the next is read, so neither the driver nor an executor holds more than one block,
+and no join pairs queries with rows.
 
 Defined results: vectors that are null, empty or hold null or non-finite components, and rows without vec_id,
 take no part; a query is compared with vectors of its own length; rows that repeat a vec_id and a vector are
@@ -25,14 +32,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import table
+from .common import discard, new_path, stash, table
 
 SCALE = 256
 #: Rows whose vec_id this divides are queries.
 QUERY_EVERY = 50
 K = 5
-#: Most queries that are sent to the executors at once.
-BLOCK_QUERIES = 8192
+#: Most queries, and bytes of their components, that are sent to the executors at once (one longer vector aside).
+BLOCK_QUERIES, BLOCK_BYTES = 8192, 64 << 20
 #: Data vectors under one tree.
 BLOCK_ROWS = 4096
 #: Of places that no row has taken.
@@ -163,28 +170,29 @@ def search_block(data: DataFrame, ids: np.ndarray, vectors: np.ndarray, k: int =
     return data.mapInArrow(search, "query_id long, vec_id long, score long")
 
 
-def query_blocks(data: DataFrame, block: int = BLOCK_QUERIES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def query_blocks(data: DataFrame, block: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """The stated queries in blocks of bounded size, by length of vector."""
     queries = data.where(F.col("vec_id") % QUERY_EVERY == 0)
-    n = queries.count()
-    parts = max(1, -(-n // block))
+    n, size = queries.agg(F.count(F.lit(1)), F.sum(F.size("v").cast("long") * 8)).first()
+    parts = max(1, -(-n // block), -(-(size or 0) // BLOCK_BYTES))
     for k in range(parts):
         rows = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(parts)) == k).toArrow().combine_chunks()
         for batch in rows.to_batches():
             yield from _grouped(batch)
 
 
-def top_k(embeddings: DataFrame, k: int = K) -> DataFrame:
+def top_k(embeddings: DataFrame, k: int = K, block: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score of the k best rows for each query."""
-    data = integer_vectors(embeddings)
-    found = None
-    for ids, vectors in query_blocks(data):
-        part = search_block(data, ids, vectors, k)
-        found = part if found is None else found.unionByName(part)
-    if found is None:
-        found = data.sparkSession.createDataFrame([], "query_id long, vec_id long, score long")
+    spark = embeddings.sparkSession
+    data = stash(integer_vectors(embeddings), "vectors")
+    path, kind = new_path(spark, "scores"), "query_id long, vec_id long, score long"
+    spark.createDataFrame([], kind).write.parquet(path)
+    for ids, vectors in query_blocks(data, block):
+        search_block(data, ids, vectors, k).write.mode("append").parquet(path)
+    discard(data)
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    found = spark.read.schema(kind).parquet(path).withColumn("rank", F.row_number().over(order))
+    return found.where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def topk_query(spark: SparkSession, sf_dir: str) -> DataFrame:
