@@ -16,12 +16,13 @@ long texts are mostly those of any prose. A full text comes before headers, a li
 MARKS are drawn from the templates so that what has none of them cannot reach the cosine. Of the full texts only pairs with such a
 word count in the product (all pairs count in a text's own length), so a full text's cosine to itself is about 0.8.
 
-Lines without an anchor are passed over in the scan; what is shuffled are the terms of lines and texts with one, by
-line, and sums by directory that each task forms first. The templates are a fixed list and go along as literals, or as a small table.
+Each text is looked at once, and only those with an anchor or a mark are kept. What is shuffled are the terms of their lines and texts, by
+line, and sums by directory that each task forms first; a directory that holds a large part of all files is met from a broadcast
+table of bounded size. The templates are a fixed list and go along as literals, or as a small table.
 
 Defined results: null and empty texts, and such without an anchor or a mark, have no licence of their own; equal cosines
-go to the first name in the alphabet; rows that repeat are each judged; null parts of a path are "none"; extra columns are
-never read.
+go to the first name in the alphabet; rows that repeat are each judged; null parts of a document's path are "none", a null path
+inherits nothing; other columns stay, and where one has the name of a new column, the new one has "_found" behind its name.
 """
 
 from __future__ import annotations
@@ -35,7 +36,7 @@ from pathlib import Path
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import fresh, meet_hot, stash, table
 
 HEADER_COSINE = 0.75
 FILE_COSINE = 0.5
@@ -193,7 +194,9 @@ def scan(files: DataFrame) -> DataFrame:
     names = [c for c in files.columns if c != "text"]
     # What has neither an anchor nor a mark is passed over.
     looked_at = F.coalesce(F.col("text").rlike(ANCHORS) | F.lower("text").rlike(MARKS), F.lit(False))
-    some = stash(files.where(looked_at).select(*names, "text", F.monotonically_increasing_id().alias("_id")), "licence-files")
+    marked = files.select(F.struct(*names).alias("_row"), F.col("path").alias("_path"), F.when(looked_at, F.col("text")).alias("text"), F.monotonically_increasing_id().alias("_id"))
+    marked = stash(marked, "licence-files")
+    some = marked.where("text is not null")
     lines = some.select("_id", F.explode(F.split("text", "\n")).alias("_text")).where(F.col("_text").rlike(ANCHORS)).select(F.struct("_id", F.monotonically_increasing_id().alias("line")).alias("_id"), "_text")
     rank = F.struct(F.col("cosine"), (-F.array_position(F.array(*map(F.lit, sorted(TEMPLATES))), F.col("licence"))).alias("place"), F.col("licence").alias("licence"))
     headers = best_templates(lines).where(F.col("cosine") >= HEADER_COSINE).groupBy(F.col("_id._id").alias("_h")).agg(F.max(rank).alias("_header"))
@@ -206,27 +209,28 @@ def scan(files: DataFrame) -> DataFrame:
     own = own.join(wrapped, F.col("_id") == F.col("_v"), "left").join(full, F.col("_id") == F.col("_g"), "left")
     reserved = lambda c: F.col(f"{c}.licence") == "all-rights-reserved"
     said = [F.col("_spdx"), *(F.when(~reserved(c), F.col(c)) for c in ("_header", "_wrapped")), F.col("_header"), F.col("_wrapped")]
-    own = own.select(*names, "_id", F.when(F.col("_full").isNull(), F.coalesce(*said)).alias("_header"), F.coalesce("_full", "_file").alias("_file"))
-    own = stash(own.where("_header is not null or _file is not null").select(*names, "_id", "_header", "_file"), "licences")
+    own = own.select("_row", "_path", "_id", F.when(F.col("_full").isNull(), F.coalesce(*said)).alias("_header"), F.coalesce("_full", "_file").alias("_file"))
+    own = stash(own.where("_header is not null or _file is not null"), "licences")
 
-    parent = F.regexp_extract("path", "^(.*)/[^/]*$", 1)
+    parent = F.regexp_extract("_path", "^(.*)/[^/]*$", 1)
     of_dir = own.where("_file is not null").groupBy(parent.alias("_dir")).agg(F.max("_file").alias("_best"))
-    judged = own.select(*names, F.coalesce("_header", "_file").alias("_r"), F.when(F.col("_header").isNotNull(), "header").otherwise("file").alias("origin"))
-    judged = judged.select(*names, F.col("_r.licence").alias("licence"), F.col("_r.cosine").alias("cosine"), "origin", F.lit(None).cast("string").alias("licence_dir"))
+    judged = own.select("_row", F.coalesce("_header", "_file").alias("_r"), F.when(F.col("_header").isNotNull(), "header").otherwise("file").alias("origin"))
+    judged = judged.select("_row", F.col("_r.licence").alias("licence"), F.col("_r.cosine").alias("cosine"), "origin", F.lit(None).cast("string").alias("licence_dir"))
 
     # Rows without a licence of their own: those whose text is passed over, and those looked at that no template fits.
-    unmarked = files.where(~looked_at).select(*names)
-    anchored = some.join(own.select(F.col("_id").alias("_own")), F.col("_id") == F.col("_own"), "left_anti").select(*names)
+    unmarked = marked.where("text is null").select("_row", "_path", "_id")
+    anchored = some.select("_row", "_path", "_id").join(own.select(F.col("_id").alias("_own")), F.col("_id") == F.col("_own"), "left_anti")
     rest = unmarked.unionByName(anchored).withColumn("_parent", parent)
-    dirs = rest.select("_parent").distinct()
+    dirs = stash(rest.groupBy("_parent").agg(F.count(F.lit(1)).alias("_n")), "directories")
+    total = dirs.agg(F.sum("_n")).first()[0] or 0
     parts = F.split(F.col("_parent"), "/")
-    above = dirs.select("_parent", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_depth")).select("_parent", "_depth", F.array_join(F.slice(parts, 1, F.col("_depth")), "/").alias("_dir"))
-    nearest = above.join(of_dir, "_dir").groupBy("_parent").agg(F.max(F.struct("_depth", "_dir", "_best")).alias("_n")).withColumnRenamed("_parent", "_p")
-    inherited = rest.join(nearest, F.col("_parent") == F.col("_p"), "left").select(
-        *names, F.col("_n._best.licence").alias("licence"), F.col("_n._best.cosine").alias("cosine"),
-        F.when(F.col("_n").isNotNull(), "inherited").alias("origin"), F.col("_n._dir").alias("licence_dir"),
+    above = dirs.select("_parent", "_n", F.explode(F.sequence(F.lit(1), F.size(parts))).alias("_depth")).withColumn("_dir", F.array_join(F.slice(parts, 1, F.col("_depth")), "/"))
+    nearest = above.join(of_dir, "_dir").groupBy(F.col("_parent").alias("_key")).agg(F.max(F.struct("_depth", "_dir", "_best")).alias("_value"), F.first("_n").alias("_n"))
+    inherited = meet_hot(rest, F.col("_parent"), F.xxhash64("_id"), stash(nearest, "nearest"), total).select(
+        "_row", F.col("_value._best.licence").alias("licence"), F.col("_value._best.cosine").alias("cosine"),
+        F.when(F.col("_value").isNotNull(), "inherited").alias("origin"), F.col("_value._dir").alias("licence_dir"),
     )
-    return judged.unionByName(inherited)
+    return judged.unionByName(inherited).select("_row.*", *(F.col(c).alias(fresh(c, files.columns)) for c in ("licence", "cosine", "origin", "licence_dir")))
 
 
 def document_path() -> Column:
