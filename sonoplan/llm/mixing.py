@@ -21,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import stash, table
+from .common import fresh, stash, table
 
 TARGET_ENTROPY = 0.98
 MAX_REPEATS = 4
@@ -112,7 +112,10 @@ def mixing_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents with their times taken: repeats, and passes (epoch, block, place) in order."""
+    """The documents with their times taken: repeats, and passes (epoch, block, place) in order.
+
+    A document's own columns of these names stay; the new ones are then repeats_found and passes_found."""
     taken = mix(docs).groupBy(F.col("doc_id").alias("_id"), F.col("source").alias("_of")).agg(F.count(F.lit(1)).cast("int").alias("repeats"), F.sort_array(F.collect_list(F.struct("epoch", "block", "place"))).alias("passes"))
-    whole = docs.drop("repeats", "passes")
-    return whole.join(taken, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_of"))).drop("_id", "_of")
+    rows = docs.select(F.struct(*docs.columns).alias("row"))
+    whole = rows.join(taken, F.col("row.doc_id").eqNullSafe(F.col("_id")) & F.col("row.source").eqNullSafe(F.col("_of")))
+    return whole.select("row.*", *(F.col(c).alias(fresh(c, docs.columns)) for c in ("repeats", "passes")))

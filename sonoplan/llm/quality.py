@@ -226,13 +226,15 @@ def train(docs: DataFrame, labels: DataFrame, max_rows: int = TRAIN_ROWS) -> Mod
         .select(F.col("doc_id").alias("_id"), F.col("quality").alias("_y"))
         .orderBy(F.xxhash64("_id"), "_id", "_y")
         .limit(max_rows)
+        .withColumn("_of", F.monotonically_increasing_id())
     )
     of_text = _features_udf()
     rows = (
         docs.select(F.col("doc_id").alias("_doc"), F.col("text").alias("_text"))
         .join(F.broadcast(chosen), F.col("_doc") == F.col("_id"))
-        .select("_y", of_text("_text").alias("x"))
-        .limit(4 * max_rows)  # repeated documents of one label
+        .select("_y", "_of", of_text("_text").alias("x"))
+        .groupBy("_of", "_y")  # one row a label, so never more than max_rows; of several texts of its document the least by features
+        .agg(F.min("x").alias("x"))
         .toPandas()
     )
     x = np.array(rows["x"].tolist(), dtype=float).reshape(-1, len(FEATURES))
@@ -270,5 +272,5 @@ def quality_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The documents that the classifier predicts to be of quality 1, unchanged."""
     model = train(docs, table(spark, sf_dir, "labels"))
-    names = docs.columns
-    return docs.withColumn("_score", score(model, F.col("text"))).where(F.col("_score") >= THRESHOLD).select(*names)
+    scored = docs.select(F.struct(*docs.columns).alias("row"), score(model, F.col("text")).alias("score"))
+    return scored.where(F.col("score") >= THRESHOLD).select("row.*")

@@ -142,6 +142,14 @@ def test_top_k_equals_brute_force(spark, kind):
     assert topk.top_k(table.limit(0)).count() == 0
 
 
+def test_query_blocks_do_not_change_the_result(spark):
+    rng = np.random.default_rng(8)
+    rows = [(k * 5, [float(x) for x in v]) for k, v in enumerate(rng.standard_normal((400, 6)))]
+    table = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    one, many = (sorted(topk.top_k(table, block=n).collect()) for n in (100, 3))
+    assert one == many and len(one) == 40 * 5
+
+
 def test_search_prunes():
     """Far clusters are passed over: fewer products than pairs."""
     rng = np.random.default_rng(7)
