@@ -1,7 +1,10 @@
 """One-call functions over packed signals (signal_id, samples), by the names that users of such libraries know.
 
 compute_{linear,mel,erb,loghz,cqt}_{power,magnitude,db}, compute_chromagram, compute_mfcc, compute_stft, compute_fft, compute_rfft,
-compute_irfft, compute_istft, compute_power_spectrum, compute_magnitude_spectrum. All are vectorised and shuffle nothing.
+compute_irfft, compute_istft, compute_power_spectrum, compute_magnitude_spectrum, compute_fft_c2c, compute_ifft_c2c,
+compute_deconvolution, compute_modulation. Of packed stereo signals (pair_id, left, right): compute_{itd,ipd,ild,ilr}. Of packed
+images (image_id, pixels): compute_fft2d, compute_ifft2d, compute_power_2d, compute_magnitude_2d, compute_lowpass, compute_highpass,
+compute_bandpass, compute_edges, compute_sharpen, compute_convolve_2d. All are vectorised and shuffle nothing.
 """
 
 from __future__ import annotations
@@ -14,8 +17,8 @@ from pyspark.sql import functions as F
 from .errors import DimensionMismatch
 from .functions.windows import Window
 from .operators.spectro import AMPLITUDES
-from .params import ChromaParams, LogParams, MfccParams, SpectroParams, StftParams
-from .plans import vector
+from .params import BinauralParams, ChromaParams, LogParams, MelParams, MfccParams, SpectroParams, StftParams
+from .plans import spatial, vector
 from .plans.planner import ChromaPlan, MfccPlan, Planner
 
 _SCALES = {"linear": "linear", "mel": "mel", "erb": "erb", "loghz": "log_hz", "cqt": "cqt"}
@@ -122,3 +125,48 @@ def fft_c2c(z: np.ndarray) -> np.ndarray:
 def ifft_c2c(z: np.ndarray) -> np.ndarray:
     """Its inverse, unnormalised too: forward and back multiplies by the length."""
     return np.fft.ifft(z) * len(z)
+
+
+def compute_fft_c2c(packed: DataFrame) -> DataFrame:
+    """signal_id, re, im of packed complex signals (re, im), unnormalised."""
+    return spatial.c2c(packed)
+
+
+def compute_ifft_c2c(packed: DataFrame) -> DataFrame:
+    return spatial.c2c(packed, True)
+
+
+def compute_deconvolution(packed: DataFrame, regularization: float) -> DataFrame:
+    """signal_id, samples of the quotient of packed signals (numerator, denominator) of any length."""
+
+    @F.arrow_udf("array<double>")
+    def apply(top: pa.Array, low: pa.Array) -> pa.Array:
+        return pa.array([spatial.deconvolve(a, b, regularization) for a, b in zip(vector.signals(top), vector.signals(low), strict=True)], pa.list_(pa.float64()))
+
+    return packed.select("signal_id", apply("numerator", "denominator").alias("samples"))
+
+
+def compute_modulation(packed: DataFrame, params: SpectroParams, mels: MelParams) -> DataFrame:
+    """image_id, r, c, v."""
+    return spatial.ModulationPlan(params, mels).long(packed)
+
+
+def _cue(name: str):
+    def compute(packed: DataFrame, params: BinauralParams) -> DataFrame:
+        return spatial.BinauralPlan(params, name).compute(packed)
+
+    compute.__name__, compute.__doc__ = f"compute_{name}", f"pair_id, frames: {name} in {spatial.UNITS[name]}."
+    return compute
+
+
+def _of_images(name: str):
+    def compute(packed: DataFrame, shape: tuple[int, int], *args) -> DataFrame:
+        return getattr(spatial.ImagePlan(*shape), name)(packed, *args)
+
+    compute.__doc__ = getattr(spatial.ImagePlan, name).__doc__
+    return compute
+
+
+globals().update({f"compute_{n}": _cue(n) for n in spatial.UNITS})
+globals().update({f"compute_{n}": _of_images(n) for n in ("fft2d", "ifft2d", "lowpass", "highpass", "bandpass", "edges", "sharpen")})
+globals().update({"compute_power_2d": _of_images("power"), "compute_magnitude_2d": _of_images("magnitude"), "compute_convolve_2d": _of_images("convolve")})

@@ -17,7 +17,7 @@ from .fourier import BASIS_LIMIT, shift
 
 def _basis(spark: SparkSession, n: int, m: int, a: str, b: str) -> DataFrame:
     """a, b, bc, bs for a below n and b below m: the angle 2 pi a b / n."""
-    require(n <= BASIS_LIMIT, f"images of more than {BASIS_LIMIT} rows or columns take the vectorised plan")
+    require(n <= BASIS_LIMIT, f"images of more than {BASIS_LIMIT} rows or columns take plans.spatial.ImagePlan")
     cell = spark.range(n * m).select((F.col("id") / m).cast("int").alias(a), (F.col("id") % m).cast("int").alias(b))
     turn = F.lit(2 * math.pi / n) * F.pmod(F.col(a) * F.col(b), F.lit(n)).cast("double")
     return cell.select(a, b, F.cos(turn).alias("bc"), F.sin(turn).alias("bs"))
@@ -79,7 +79,7 @@ KERNEL_LIMIT = 4096
 def convolve(image: DataFrame, kernel: DataFrame, rows: int, cols: int, kernel_rows: int, kernel_cols: int) -> DataFrame:
     """Circular convolution, the kernel's middle (half, rounded down) at the pixel: each pixel is spread over the kernel's places and summed."""
     require(kernel_rows <= rows and kernel_cols <= cols, "the kernel must not exceed the image")
-    require(kernel_rows * kernel_cols <= KERNEL_LIMIT, "a kernel this large takes the vectorised plan")
+    require(kernel_rows * kernel_cols <= KERNEL_LIMIT, "a kernel this large takes plans.spatial.ImagePlan")
     k = kernel.select((F.col("r") - kernel_rows // 2).alias("dr"), (F.col("c") - kernel_cols // 2).alias("dc"), "w")
     spread = image.join(F.broadcast(k))  # KERNEL_LIMIT rows at most; every pixel has use for each
     return spread.groupBy("image_id", F.pmod(F.col("r") + F.col("dr"), F.lit(rows)).cast("int").alias("r"), F.pmod(F.col("c") + F.col("dc"), F.lit(cols)).cast("int").alias("c")).agg(F.sum(F.col("v") * F.col("w")).alias("v"))

@@ -215,13 +215,14 @@ SELECT signal_id, n, {R("CASE WHEN w > 1e-10 THEN y / w ELSE y END")} AS x FROM
     q["statistics"] = f"WITH {POWER} SELECT count(*) AS n, {R('min(sqrt(v))', 5)} AS minimum, {R('max(sqrt(v))', 5)} AS maximum, {R('avg(sqrt(v))', 5)} AS mean FROM p"
     q["duration"] = f"WITH {POWER} SELECT signal_id, {R('max(frame) * 32 / 16000e0', 9)} AS duration_s FROM p GROUP BY signal_id"
     q["one_frame"] = f"WITH {POWER} SELECT signal_id, CAST(frame AS INTEGER) AS frame, bin, {R('v', 4)} AS value FROM p WHERE frame = 3"
-    short = f"sh AS (SELECT * FROM e WHERE signal_id % 2 = 0 OR n < 32), {frames('sh', 16, 8, 0, 64, hann(16))}, {dft(16)}"
-    q["batch_padded"] = f"WITH {E}, {short} SELECT signal_id, CAST(frame AS INTEGER) AS frame, CAST(bin AS INTEGER) AS bin, {R('CASE WHEN signal_id % 2 = 0 OR frame < 3 THEN re * re + im * im ELSE 0 END')} AS value FROM z"
+    mixed = f"bs AS (SELECT 'v' || CAST(signal_id AS VARCHAR) AS signal_id, n, x, 7 AS m FROM e UNION ALL SELECT signal_id, n, x, 89 FROM h)"
+    cut = f"f AS (SELECT s.signal_id, frame, i, coalesce(x, 0e0) * {hann(16)} AS v FROM (SELECT DISTINCT signal_id, m FROM bs) s CROSS JOIN (SELECT unnest(range(0, 89)) AS frame) CROSS JOIN (SELECT unnest(range(0, 16)) AS i) LEFT JOIN bs x ON x.signal_id = s.signal_id AND x.n = frame * 8 + i AND frame < s.m)"
+    q["batch_padded"] = f"WITH {E}, {H}, {mixed}, {cut}, {dft(16)} SELECT signal_id, CAST(frame AS INTEGER) AS frame, CAST(bin AS INTEGER) AS bin, {R('re * re + im * im', 4)} AS value FROM z"
     q["mfcc"], q["mfcc_no_c0"] = mfcc(False), mfcc(True)
     for norm in ("none", "l1", "l2", "max"):
         q[f"chroma_{norm}"] = chroma(norm)
     q["peak_frequency"] = f"""WITH {POWER} SELECT signal_id, CAST(frame AS INTEGER) AS frame, bin, {R("v", 4)} AS value, {R("bin * 250e0", 4)} AS freq_hz
-      FROM (SELECT *, row_number() OVER (PARTITION BY signal_id, frame ORDER BY v DESC, bin) AS r FROM p WHERE bin > 0) WHERE r = 1"""
+      FROM (SELECT *, row_number() OVER (PARTITION BY signal_id, frame ORDER BY v DESC, bin) AS r FROM p) WHERE r = 1"""
     q["stmtf"] = f"""WITH {POWER}, {mel_bank(8)}, im AS (SELECT signal_id AS image_id, band AS r, frame AS c, sum(w * v) AS v FROM p JOIN fb USING (bin) GROUP BY ALL), {fft2(8, 23)}
 SELECT image_id, CAST((r + 4) % 8 AS INTEGER) AS r, CAST((c + 6) % 12 AS INTEGER) AS c, {R("sqrt(re * re + im * im)", 3)} AS v FROM s2"""
     sine = "sin(pi() * (i + 0.5e0) / 64)"
@@ -238,7 +239,7 @@ SELECT image_id, CAST((r + 4) % 8 AS INTEGER) AS r, CAST((c + 6) % 12 AS INTEGER
 dq AS (SELECT *, dr * dr + di * di + 0.01e0 * max(dr * dr + di * di) OVER () AS q FROM dz),
 qz AS (SELECT signal_id, bin, (re * dr + im * di) / q AS re, (im * dr - re * di) / q AS im FROM z JOIN dq USING (bin))
 SELECT signal_id, i AS n, {R(f"sum((CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END) * (re * cos({turn_k}) - im * sin({turn_k}))) / 64")} AS x FROM qz CROSS JOIN (SELECT unnest(range(0, 60)) AS i) GROUP BY signal_id, i"""
-    q["magphase"] = f"WITH {LINE} SELECT {bins}, {R('pow(m, 1.5)')} AS magnitude, {R('re / m')} AS phase_re, {R('im / m')} AS phase_im FROM (SELECT *, sqrt(re * re + im * im) AS m FROM z) WHERE bin BETWEEN 1 AND 31"
+    q["magphase"] = f"WITH {LINE} SELECT {bins}, {R('pow(m, 1.5)')} AS magnitude, {R('CASE WHEN m > 0 THEN re / m ELSE 1e0 END')} AS phase_re, {R('CASE WHEN m > 0 THEN im / m ELSE 0e0 END')} AS phase_im FROM (SELECT *, sqrt(re * re + im * im) AS m FROM z)"
     for name in CUES:
         q[name] = cue(name)
     for name, most, power in (("itd", "0.00088e0", 1), ("ipd", "pi()", 1), ("ild", "24e0", 3), ("ilr", "1e0", 3)):
@@ -256,10 +257,11 @@ SELECT signal_id, i AS n, {R(f"sum((CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END)
     q["power_2d"] = f"WITH {e8}, {fft2(8, 8)} SELECT {PIXELS}, {R('re * re + im * im')} AS v FROM s2"
     q["magnitude_2d"] = f"WITH {e8}, {fft2(8, 8)} SELECT {PIXELS}, {R('sqrt(re * re + im * im)')} AS v FROM s2"
     q["ifft2d_roundtrip"] = f"WITH {e8} SELECT {PIXELS}, {R('v')} AS v FROM im"
-    for name, by in (("fftshift_2d", "3"), ("ifftshift_2d", "4")):
-        q[name] = f"WITH {e8} SELECT image_id, CAST((r - {by} + 7) % 7 AS INTEGER) AS r, CAST((c + 4) % 8 AS INTEGER) AS c, {R('v')} AS v FROM im WHERE r < 7"
-    for name, by in (("fftshift_1d", 31), ("ifftshift_1d", 32)):
-        q[name] = f"WITH {E} SELECT signal_id, CAST((n - {by} + 63) % 63 AS BIGINT) AS n, {R('x')} AS x FROM e WHERE n < 63"
+    for name, back in (("fftshift", 0), ("ifftshift", 1)):
+        q[f"{name}_2d"] = f"WITH {e8} SELECT image_id, CAST((r + 4) % 8 AS INTEGER) AS r, CAST((c + 4) % 8 AS INTEGER) AS c, {R('v')} AS v FROM im"
+        q[f"{name}_2d_odd"] = f"WITH {e8}, {fft2(8, 8)} SELECT image_id, CAST((r + 4) % 8 AS INTEGER) AS r, CAST((c - {2 + back} + 5) % 5 AS INTEGER) AS c, {R('sqrt(re * re + im * im)')} AS v FROM s2"
+        q[f"{name}_1d"] = f"WITH {E} SELECT signal_id, CAST((n + 32) % 64 AS BIGINT) AS n, {R('x')} AS x FROM e"
+        q[f"{name}_1d_odd"] = f"WITH {LINE} SELECT signal_id, CAST((bin - {16 + back} + 33) % 33 AS BIGINT) AS n, {R('re * re + im * im')} AS x FROM z"
     q["fftfreq"] = f"SELECT CAST(i AS INTEGER) AS i, {R('(CASE WHEN i < 8 THEN i ELSE i - 15 END) / (15 * 0.1e0)', 9)} AS value FROM (SELECT unnest(range(0, 15)) AS i)"
     q["rfftfreq"] = f"SELECT CAST(i AS INTEGER) AS i, {R('i / (15 * 0.1e0)', 9)} AS value FROM (SELECT unnest(range(0, 8)) AS i)"
     g = lambda n, s: f"gk AS (SELECT r, c, g / sum(g) OVER () AS w FROM (SELECT r, c, exp(-(pow(r - {n // 2}, 2) + pow(c - {n // 2}, 2)) / {2 * s * s!r}e0) AS g FROM (SELECT unnest(range(0, {n})) AS r) CROSS JOIN (SELECT unnest(range(0, {n})) AS c)))"
@@ -278,6 +280,36 @@ SELECT signal_id, i AS n, {R(f"sum((CASE WHEN bin IN (0, 32) THEN 1 ELSE 2 END)
     q["lowpass_fast"] = f"WITH {filtered('e', 8, 8, low)} SELECT image_id AS signal_id, CAST(r * 8 + c AS INTEGER) AS i, {R('v')} AS value FROM y2"
     q["cqt_free"] = f"""WITH {E}, {CQT_KERNEL}, zc AS (SELECT signal_id, kn.bin, sum(x * re) AS re, sum(x * im) AS im FROM e JOIN kn ON e.n = 64 - len + kn.n GROUP BY signal_id, kn.bin)
 SELECT signal_id, CAST(bin AS INTEGER) AS i, {R("sqrt(re * re + im * im)")} AS value FROM zc"""
+    for name in ("itd", "ipd", "ipd_wrapped", "ild", "ilr", "fft2d", "fft2d_rectangular", "power_2d", "magnitude_2d", "ifft2d_roundtrip", "highpass", "bandpass", "fftshift_2d", "edges", "sharpen", "deconvolve_1d", "stmtf"):
+        q[f"{name}_fast"] = q[name]
+    q["convolve_2d_gaussian_fast"] = q["convolve_2d"]
+    whole = "2 * pi() * ((n * k) % 64) / 64e0"
+    for name, sign in (("fft_c2c", 1), ("ifft_c2c", -1)):
+        q[name] = f"""WITH {B} SELECT pair_id AS signal_id, CAST(k AS INTEGER) AS bin, {R(f"sum(l * cos(t) + {sign} * r * sin(t))")} AS re, {R(f"sum(r * cos(t) - {sign} * l * sin(t))")} AS im
+FROM (SELECT pair_id, k, l, r, {whole} AS t FROM pr CROSS JOIN (SELECT unnest(range(0, 64)) AS k)) GROUP BY pair_id, k"""
+    # Minimum phase: cosine sums over the 257 frequencies of 512 points, folded cepstrum, and back.
+    freq, quef, side = "(SELECT unnest(range(0, 257)) AS k)", "(SELECT unnest(range(0, 257)) AS c)", "(CASE WHEN k IN (0, 256) THEN 1 ELSE 2 END)"
+    turn = lambda a: f"2 * pi() * (({a}) % 512) / 512e0"
+    q["minimum_phase"] = f"""WITH {E}, hz AS (SELECT signal_id, k, sum(x * cos({turn("n * k")})) AS re, sum(x * sin({turn("n * k")})) AS im FROM e CROSS JOIN {freq} GROUP BY signal_id, k),
+hp AS (SELECT signal_id, k, re * re + im * im AS p, max(re * re + im * im) OVER (PARTITION BY signal_id) AS m FROM hz),
+hc AS (SELECT signal_id, c, sum({side} * 0.5e0 * ln(p + CASE WHEN m > 0 THEN m * 1e-20 ELSE 1e-300 END) * cos({turn("k * c")})) / 512 * (CASE WHEN c IN (0, 256) THEN 1 ELSE 2 END) AS v FROM hp CROSS JOIN {quef} GROUP BY signal_id, c),
+hg AS (SELECT signal_id, k, sum(v * cos({turn("k * c")})) AS re, -sum(v * sin({turn("k * c")})) AS im FROM hc CROSS JOIN {freq} GROUP BY signal_id, k)
+SELECT signal_id, CAST(n AS INTEGER) AS i, {R(f"sum({side} * exp(re) * cos(im + {turn('k * n')})) / 512")} AS value FROM hg CROSS JOIN (SELECT unnest(range(0, 64)) AS n) GROUP BY signal_id, n"""
+    # Gammatone: the impulse response of four sections by recursion, then each frame's product with it.
+    sections = ", ".join(f"d * (cos(a) + ({o}) * sin(a)) AS z{k}" for k, o in enumerate(("1 + sqrt(2e0)", "-1 - sqrt(2e0)", "sqrt(2e0) - 1", "1 - sqrt(2e0)")))
+    size = " * ".join(f"(sqrt(pow(cos(a) - z{k}, 2) + pow(sin(a), 2)) / 16000)" for k in range(4))
+    first = ", ".join(f"0e0 AS y{k}, 0e0 AS s{k}, 0e0 AS u{k}" for k in range(4))
+    chain = " ".join(f"CROSS JOIN LATERAL (SELECT (1 / 16000e0) * {'g.gain * (CASE WHEN g.n = -1 THEN 1e0 ELSE 0e0 END)' if k == 0 else f'x{k - 1}.y'} + g.s{k} AS y, -(1 / 16000e0) * g.z{k} * {'g.gain * (CASE WHEN g.n = -1 THEN 1e0 ELSE 0e0 END)' if k == 0 else f'x{k - 1}.y'} AS w) x{k}" for k in range(4))
+    step = ", ".join(f"x{k}.y AS y{k}, x{k}.w + g.u{k} - g.p0 * x{k}.y AS s{k}, -g.p1 * x{k}.y AS u{k}" for k in range(4))
+    q["gammatone_iir"] = f"""WITH RECURSIVE {E}, gc AS (SELECT j, 100e0 + j * 7900e0 / 7 AS fc FROM (SELECT unnest(range(0, 8)) AS j)),
+ga AS (SELECT j, 2 * pi() * fc / 16000 AS a, exp(-1.019e0 * 2 * pi() * (fc / 9.26449e0 + 24.7e0) / 16000) AS d FROM gc),
+gz AS (SELECT j, a, -2 * cos(a) * d AS p0, d * d AS p1, {sections} FROM ga),
+gp AS (SELECT j, p0, p1, z0, z1, z2, z3, pow(sqrt(pow(cos(2 * a) + p0 * cos(a) + p1, 2) + pow(sin(2 * a) + p0 * sin(a), 2)), 4) / ({size}) AS gain FROM gz),
+g AS (SELECT j, p0, p1, z0, z1, z2, z3, gain, -1 AS n, {first} FROM gp UNION ALL
+  SELECT g.j, g.p0, g.p1, g.z0, g.z1, g.z2, g.z3, g.gain, g.n + 1, {step} FROM g {chain} WHERE g.n < 31),
+gf AS (SELECT signal_id, fr, n - fr * 16 AS i, x * (0.5e0 - 0.5e0 * cos(2 * pi() * (n - fr * 16) / 31e0)) AS v FROM e CROSS JOIN (SELECT unnest(range(0, 3)) AS fr) WHERE n - fr * 16 BETWEEN 0 AND 31),
+gy AS (SELECT signal_id, fr, j, i + g.n AS o, sum(v * y3) AS y FROM gf JOIN g ON g.n >= 0 AND i + g.n < 32 GROUP BY signal_id, fr, j, o)
+SELECT signal_id, CAST(fr * 8 + j AS INTEGER) AS i, {R("sqrt(sum(y * y) / 32)", 8)} AS value FROM gy GROUP BY signal_id, fr, j"""
     q["stream_spectra"] = f"WITH {E}, {frames('e', 16, 8, 0, 64, hann(16))}, {dft(16)} SELECT signal_id, CAST(frame AS BIGINT) AS frame, CAST(bin AS INTEGER) AS bin, {R('re * re + im * im')} AS value FROM z"
     q["stream_filter"] = f"WITH {E} SELECT signal_id, CAST(n + tap AS BIGINT) AS n, {R('sum(x * h)')} AS y FROM e CROSS JOIN {taps} WHERE n + tap < 64 GROUP BY signal_id, n + tap"
     return q

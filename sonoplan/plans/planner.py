@@ -1,4 +1,4 @@
-"""Builds plans: checks parameters, forms filterbanks once, and picks the relational or the vectorised form by size."""
+"""Builds plans: checks parameters and forms filterbanks once."""
 
 from __future__ import annotations
 
@@ -13,6 +13,8 @@ from ..params import ChromaParams, CqtParams, ErbParams, LogHzParams, LogParams,
 from ..sources.signals import to_long
 from .vector import SpectroPlan
 
+#: Most points of a frame for which the relational form is chosen.
+SMALL = 8
 FREQUENCIES = ("linear", "mel", "erb", "log_hz", "cqt")
 
 
@@ -43,9 +45,12 @@ class Planner:
 
 
 def compute(packed: DataFrame, frequency: str, scale: str, p: SpectroParams, bands=None, log: LogParams | None = None, relational: bool | None = None) -> DataFrame:
-    """signal_id, frame, bin, value. Small transforms may be relational (SQL can say the same); others are vectorised."""
+    """signal_id, frame, bin, value. Vectorised, unless the relational form is asked for, which takes up to BASIS_LIMIT points.
+
+    Left open, the form goes by size: frames of SMALL points or fewer are relational, as their products are fewer than the rows that pass
+    to Python and back."""
     if relational is None:
-        relational = False
+        relational = p.stft.n_fft <= SMALL
     require(not relational or p.stft.n_fft <= BASIS_LIMIT, "the relational form takes small transforms only")
     if not relational:
         return Planner().plan(frequency, scale, p, bands, log).long(packed)

@@ -18,7 +18,7 @@ from .operators import convolution as conv
 from .operators import features, fourier, image, lapped, spectro
 from .operators import filterbanks as fb
 from .params import BinauralParams, ChromaParams, CqtParams, ErbParams, LogHzParams, LogParams, MdctParams, MelParams, MfccParams, SpectroParams, StftParams
-from .plans import vector
+from .plans import spatial, vector
 from .plans.planner import Planner
 from .sources import signals as src
 from .streaming import frames as stream_frames
@@ -161,7 +161,7 @@ def _swapped(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _magphase(spark: SparkSession, sf: str) -> DataFrame:
-    z = fourier.fft(_vectors(spark, sf), 64).where("bin between 1 and 31")
+    z = fourier.fft(_vectors(spark, sf), 64)
     m, c, s = bi.magphase(F.col("re"), F.col("im"), 1.5)
     return _rounded(z.select("signal_id", "bin", m.alias("magnitude"), c.alias("phase_re"), s.alias("phase_im")))
 
@@ -205,11 +205,58 @@ def _axes(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _batch(spark: SparkSession, sf: str) -> DataFrame:
-    """Spectra of signals of two lengths in one rectangular batch."""
-    long = _vectors(spark, sf).where((F.col("signal_id") % 2 == 0) | (F.col("n") < 32))
+    """Spectra of signals of two lengths, the embeddings and the hourly series, in one rectangular batch."""
+    named = _vectors(spark, sf).withColumn("signal_id", F.concat(F.lit("v"), F.col("signal_id").cast("string")))
     p = StftParams(16, 8, centre=False)
-    own = fourier.stft(long, p).select("signal_id", "frame", "bin", fourier.power().alias("value"))
-    return _rounded(src.pad_to_longest(own))
+    own = fourier.stft(named.unionByName(_hours(spark, sf)), p).select("signal_id", "frame", "bin", fourier.power().alias("value"))
+    return _rounded(src.pad_to_longest(own), 4)
+
+
+def _packed_pairs(spark: SparkSession, sf: str) -> DataFrame:
+    return spatial.pack_pairs(src.vectors(spark, sf), F.floor(F.col("signal_id") / 2).cast("long"), F.pmod(F.col("signal_id"), F.lit(2)))
+
+
+def _cue_fast(cue: str, wrapped: bool = False, digits: int = 6) -> Query:
+    p = BinauralParams(WHOLE, 500.0, 7500.0, wrapped=wrapped)
+    return lambda spark, sf: _rounded(_nan_to_null(spatial.BinauralPlan(p, cue).long(_packed_pairs(spark, sf))), digits)
+
+
+def _packed_images(spark: SparkSession, sf: str) -> DataFrame:
+    return src.vectors(spark, sf).select(F.col("signal_id").alias("image_id"), F.col("samples").alias("pixels"))
+
+
+def _image_fast(f: Callable[[spatial.ImagePlan, DataFrame], DataFrame], half: bool = False, names: dict | None = None) -> Query:
+    plan = spatial.ImagePlan(8, 8)
+    return lambda spark, sf: _rounded(plan.long(f(plan, _packed_images(spark, sf)), half, names))
+
+
+def _day_hour_fast(f: Callable[[spatial.ImagePlan, DataFrame], DataFrame], half: bool = False, names: dict | None = None) -> Query:
+    plan = spatial.ImagePlan(24, 30)
+    return lambda spark, sf: _rounded(plan.long(f(plan, spatial.pack_images(_day_hour(spark, sf), 24, 30)), half, names), 7)
+
+
+def _deconvolve_fast(spark: SparkSession, sf: str) -> DataFrame:
+    from .api import compute_deconvolution
+
+    pairs = src.vectors(spark, sf).select("signal_id", F.col("samples").alias("numerator"), F.array(*map(F.lit, RESPONSE)).alias("denominator"))
+    out = compute_deconvolution(pairs, 0.01).select("signal_id", F.posexplode("samples").alias("n", "x"))
+    return _rounded(out.select("signal_id", F.col("n").cast("long").alias("n"), "x"))
+
+
+def _c2c(inverse: bool) -> Query:
+    """Pairs of embeddings as complex signals."""
+
+    def run(spark: SparkSession, sf: str) -> DataFrame:
+        z = spatial.c2c(_packed_pairs(spark, sf).select(F.col("pair_id").alias("signal_id"), F.col("left").alias("re"), F.col("right").alias("im")), inverse)
+        rows = z.select("signal_id", F.posexplode(F.arrays_zip("re", "im")).alias("bin", "z"))
+        return _rounded(rows.select("signal_id", "bin", "z.re", "z.im"))
+
+    return run
+
+
+def _odd(inverse: bool) -> Query:
+    """The 33 bins of each embedding's spectrum, rotated."""
+    return lambda spark, sf: _rounded(fourier.fftshift_1d(fourier.power_spectrum(_vectors(spark, sf), 64).select("signal_id", F.col("bin").cast("long").alias("n"), F.col("value").alias("x")), 33, inverse))
 
 
 def _stream(spark: SparkSession, sf: str) -> DataFrame:
@@ -268,7 +315,7 @@ def queries() -> dict[str, Query]:
     q["mfcc_no_c0"] = lambda s, d: _rounded(features.mfcc(_hours(s, d), P, 12, MfccParams(6, False, 22), src.HOURS), 5)
     for norm in ("none", "l1", "l2", "max"):
         q[f"chroma_{norm}"] = _chroma(norm)
-    q["peak_frequency"] = lambda s, d: _rounded(features.peaks(spectro.linear(_hours(s, d), P, "power", None, src.HOURS).where("bin > 0"), fb.bin_frequencies(P)), 4)
+    q["peak_frequency"] = lambda s, d: _rounded(features.peaks(spectro.linear(_hours(s, d), P, "power", None, src.HOURS), fb.bin_frequencies(P)), 4)
     q["stmtf"] = lambda s, d: _rounded(features.modulation(_hours(s, d), P, MelParams(8, 0.0, 8000.0), FRAMES, src.HOURS), 3)
     q["mdct"] = lambda s, d: _rounded(lapped.mdct(_hours(s, d), MDCT, src.HOURS))
     q["imdct_reconstruct"] = lambda s, d: _rounded(lapped.imdct(lapped.mdct(_hours(s, d), MDCT, src.HOURS), MDCT, 700))
@@ -292,10 +339,14 @@ def queries() -> dict[str, Query]:
     q["power_2d"] = _image(lambda i: image.power_2d(i, 8, 8))
     q["magnitude_2d"] = _image(lambda i: image.magnitude_2d(i, 8, 8))
     q["ifft2d_roundtrip"] = _image(lambda i: image.ifft2d(image.fft2d(i, 8, 8), 8, 8))
-    q["fftshift_2d"] = _image(lambda i: image.shift_2d(i.where("r < 7"), 7, 8))
-    q["ifftshift_2d"] = _image(lambda i: image.shift_2d(i.where("r < 7"), 7, 8, True))
-    q["fftshift_1d"] = lambda s, d: _rounded(fourier.fftshift_1d(_vectors(s, d).where("n < 63"), 63))
-    q["ifftshift_1d"] = lambda s, d: _rounded(fourier.fftshift_1d(_vectors(s, d).where("n < 63"), 63, True))
+    # Images of 8 rows and 8 columns, their spectra of 8 rows and 5 columns; signals of 64 samples, their spectra of 33 bins.
+    q["fftshift_2d"] = _image(lambda i: image.shift_2d(i, 8, 8))
+    q["ifftshift_2d"] = _image(lambda i: image.shift_2d(i, 8, 8, True))
+    q["fftshift_2d_odd"] = _image(lambda i: image.shift_2d(image.magnitude_2d(i, 8, 8), 8, 5))
+    q["ifftshift_2d_odd"] = _image(lambda i: image.shift_2d(image.magnitude_2d(i, 8, 8), 8, 5, True))
+    q["fftshift_1d"] = lambda s, d: _rounded(fourier.fftshift_1d(_vectors(s, d), 64))
+    q["ifftshift_1d"] = lambda s, d: _rounded(fourier.fftshift_1d(_vectors(s, d), 64, True))
+    q["fftshift_1d_odd"], q["ifftshift_1d_odd"] = _odd(False), _odd(True)
     q["fftfreq"] = lambda s, d: _rounded(fourier.fft_frequencies(s, 15, 0.1), 9)
     q["rfftfreq"] = lambda s, d: _rounded(fourier.rfft_frequencies(s, 15, 0.1), 9)
     q["gaussian_kernel"] = lambda s, d: _rounded(image.gaussian_kernel(s, 5, 1.2), 9)
@@ -313,6 +364,23 @@ def queries() -> dict[str, Query]:
     q["mdct_fast"] = _vector_list(lambda x: vector.mdct(x, MdctParams.sine(32)).ravel())
     q["convolve_2d_fast"] = _vector_list(lambda x: vector.convolve_2d(x.reshape(8, 8), np.outer([1, 2, 1], [1, 2, 1]) / 16.0).ravel())
     q["lowpass_fast"] = _vector_list(lambda x: vector.filter_2d(x.reshape(8, 8), vector.lowpass_mask(8, 8, 0.8)).ravel())
+    q["itd_fast"], q["ipd_fast"], q["ipd_wrapped_fast"] = _cue_fast("itd", digits=9), _cue_fast("ipd"), _cue_fast("ipd", True)
+    q["ild_fast"], q["ilr_fast"] = _cue_fast("ild"), _cue_fast("ilr")
+    both = {"re": "re", "im": "im"}
+    q["fft2d_fast"] = _image_fast(lambda p, i: p.fft2d(i), True, both)
+    q["fft2d_rectangular_fast"] = _day_hour_fast(lambda p, i: p.fft2d(i), True, both)
+    q["power_2d_fast"] = _image_fast(lambda p, i: p.power(i), True)
+    q["magnitude_2d_fast"] = _image_fast(lambda p, i: p.magnitude(i), True)
+    q["ifft2d_roundtrip_fast"] = _image_fast(lambda p, i: p.ifft2d(p.fft2d(i)))
+    q["highpass_fast"] = _image_fast(lambda p, i: p.highpass(i, 0.5))
+    q["bandpass_fast"] = _image_fast(lambda p, i: p.bandpass(i, 0.4, 1.0))
+    q["convolve_2d_gaussian_fast"] = _image_fast(lambda p, i: p.convolve(i, spatial.gaussian_kernel(3, 1.0)))
+    q["fftshift_2d_fast"] = _image_fast(lambda p, i: p.shifted(i))
+    q["edges_fast"] = _day_hour_fast(lambda p, i: p.edges(i))
+    q["sharpen_fast"] = _day_hour_fast(lambda p, i: p.sharpen(i, 1.5))
+    q["deconvolve_1d_fast"] = _deconvolve_fast
+    q["stmtf_fast"] = lambda s, d: _rounded(spatial.ModulationPlan(P, MelParams(8, 0.0, 8000.0)).long(_packed_hours(s, d)), 3)
+    q["fft_c2c"], q["ifft_c2c"] = _c2c(False), _c2c(True)
     q["stream_spectra"] = _stream_spectra
     q["stream_filter"] = _stream_filter
     return q

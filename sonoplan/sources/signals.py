@@ -38,11 +38,13 @@ HOURS = 720
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Long signals of HOURS samples, one for each type of event: thousands of value an hour, a row for every hour."""
+    """Long signals of HOURS samples, one for each type of event: thousands of value an hour, a row for every hour; an event outside these is an error."""
     events = table(spark, sf_dir, "events")
     hour = (F.datediff(F.to_date("ts"), F.lit("2024-01-01").cast("date")) * 24 + F.hour("ts")).cast("long")
     # Whole hundredths are summed, so the order of rows does not matter.
-    sums = events.groupBy(F.col("event_type").alias("signal_id"), hour.alias("n")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / F.lit(100000.0)).alias("x")).where(F.col("n").between(0, HOURS - 1))
+    sums = events.groupBy(F.col("event_type").alias("signal_id"), hour.alias("n")).agg((F.sum(F.round(F.col("value") * 100).cast("long")) / F.lit(100000.0)).alias("x"))
+    inside = F.when(F.col("n").between(0, HOURS - 1), F.col("n")).otherwise(F.raise_error(F.lit("an event is outside the series")).cast("long"))
+    sums = sums.withColumn("n", inside)
     grid = sums.select("signal_id").distinct().select("signal_id", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(HOURS - 1).cast("long"))).alias("n"))
     return grid.join(sums, ["signal_id", "n"], "left").select("signal_id", "n", F.coalesce("x", F.lit(0.0)).alias("x"))
 

@@ -34,6 +34,27 @@ def test_streamed_filter_equals_batch(spark, tmp_path):
     assert np.allclose(got["y"], np.convolve(x, h)[:111])
 
 
+def test_late_samples_and_gaps(spark, tmp_path):
+    """The second file repeats a position of the first and skips some: late ones go if that is asked for, gaps are zeros."""
+    x = np.random.default_rng(5).standard_normal(111)
+    rows = [(1, n, float(v)) for n, v in enumerate(x) if not 50 <= n < 60] + [(1, 3, 9.0)]
+    want = np.where((np.arange(111) >= 50) & (np.arange(111) < 60), 0, x)
+    source, schema = tmp_path / "late", "signal_id long, n long, x double"
+    for part in ([r for r in rows if r[1] < 45 and r[2] != 9.0], [r for r in rows if r[1] >= 45] + [(1, 3, 9.0)]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(source))
+
+    def run(name, **kw):
+        stream = filter_stream(spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(source)), [1.0, 0.5], **kw)
+        q = stream.writeStream.format("memory").queryName(name).option("checkpointLocation", str(tmp_path / f"{name}-state")).trigger(availableNow=True).start()
+        q.awaitTermination(120)
+        return spark.table(name).toPandas().sort_values("n")
+
+    got = run("dropped", late="drop", expire_s=3600)
+    assert got["n"].tolist() == list(range(111)) and np.allclose(got["y"], np.convolve(want, [1.0, 0.5])[:111])
+    with pytest.raises(Exception, match="late or twice"):
+        run("refused")
+
+
 def test_overlap_save_blocks():
     x, h = np.random.default_rng(3).standard_normal(1024), np.exp(-np.arange(200) / 40) * np.sin(np.arange(200))
     f = OverlapSave(h, 128)
