@@ -88,10 +88,10 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
             spark.conf.set(k, b)
 
 
-def bitmap(rows: DataFrame, position: Column) -> bytes:
-    """A bitmap of 2^BITMAP bits, some of whose positions rows have; it is put together by parts of 4 KB."""
+def bitmap(rows: DataFrame, position: Column, width: int = BITMAP) -> bytes:
+    """A bitmap of 2^width bits, some of whose positions rows have; it is put together by parts of 4 KB."""
     parts = rows.select(position.cast("long").alias("p")).groupBy(F.shiftright("p", 15).alias("k")).agg(F.bitmap_construct_agg(F.col("p").bitwiseAND(32767)).alias("bits")).collect()
-    out = bytearray(1 << (BITMAP - 3))
+    out = bytearray(1 << (width - 3))
     for r in parts:
         out[r.k * 4096 : r.k * 4096 + len(r.bits)] = r.bits
     return bytes(out)

@@ -7,13 +7,13 @@ bounds how many of a prefix can be missing: the prefix holds one token more than
 1. Summaries. One pass gives each document's number of tokens and a 128-bit digest of its set. Equal sets are one
    class, represented by the smallest doc_id; all that follows looks at representatives only.
 2. Classes of tokens. Document frequencies of all tokens are counted: tasks exchange sorted runs of tokens, packed
-   by ranges. Tokens of FREQUENT documents or more are frequent (the bound doubles until they fill a sixteenth of
-   a bitmap of fixed size, which is what the executors get).
+   by ranges. Tokens of FREQUENT documents or more are frequent. Executors get them as a bitmap, whose width follows their
+   number up to 2^WIDEST bits; where they fill more than a sixteenth of that, the bound doubles until they do not.
 3. Prefixes. Tokens are ordered rare ones first, then by hash. If a document's rare tokens fill the prefix, each of
    them is indexed alone. If not, the prefix is extended into its frequent tokens, which are indexed by pairs: a
    pair is of one group of tokens (by hash; the number of groups follows the size), and as long as the groups
    hold the tokens that may be missing and one more each, two linked documents share a rare token or a pair.
-4. Candidates. A rare token has few documents by definition, so its candidates are formed where its run is sorted, and
+4. Candidates. A rare token's candidates are formed where its run is sorted, neighbours in size first, PAIRS at a time, and
    stay if what they share of the prefixes allows a link. Without a shared rare token, only frequent ones can be shared.
    A pair's documents meet with one of them first; only what is not yet in one component then meets.
 5. Verification. Each candidate pair's whole token sets are intersected. First every document is held against its
@@ -48,6 +48,8 @@ SHARE = 80
 FREQUENT = 32
 #: Tokens or postings that a task sorts at a time; that a part of the exchange, and a task that reads parts, hold about.
 RUN, PART, READ = 1 << 19, 1 << 17, 1 << 19
+#: Pairs of documents that a task holds at a time, and those of one step over its postings at most.
+PAIRS = 1 << 20
 #: Words of 64 parity bits of a set.
 PARITY = 8
 #: Sizes of one band differ by this factor at most.
@@ -184,6 +186,8 @@ def _readers(n: int) -> int:
 
 #: Bits of a token that do not count for its class: the differences in a sorted run become short.
 _DROPPED = _U(12)
+#: log2 of the bits of the largest bitmap of frequent tokens (32 MB); few tokens get one of 2^BITMAP bits.
+WIDEST = 28
 
 
 def frequent_tokens(docs: Wanted, n_tokens: int) -> DataFrame:
@@ -216,19 +220,25 @@ def frequent_tokens(docs: Wanted, n_tokens: int) -> DataFrame:
             first = np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1])))
             n = np.diff(np.append(first, len(values)))
             many = n >= FREQUENT
-            yield pa.RecordBatch.from_arrays([pa.array((values[first[many]] >> (_U(64 - BITMAP) - _DROPPED)).astype(np.int64)), pa.array(n[many], pa.int64())], ["position", "n"])
+            yield pa.RecordBatch.from_arrays([pa.array((values[first[many]] >> (_U(64 - WIDEST) - _DROPPED)).astype(np.int64)), pa.array(n[many], pa.int64())], ["position", "n"])
 
     return docs.map(runs, "part int, run binary").repartition(_readers(n_tokens), "part").mapInArrow(count, "position long, n long")
 
 
 def class_bitmap(frequent: DataFrame) -> bytes:
-    """The bitmap of frequent tokens, with the least bound that leaves fifteen sixteenths of it empty."""
+    """The bitmap of frequent tokens, as wide as leaves fifteen sixteenths of it empty; beyond the widest one, with the least bound that does."""
     sizes = {r.k: r.m for r in frequent.groupBy(F.floor(F.log2("n")).cast("int").alias("k")).agg(F.count(F.lit(1)).alias("m")).collect()}
     level, left = FREQUENT.bit_length() - 1, sum(sizes.values())
-    while left > 1 << (BITMAP - 4):
+    width = min(WIDEST, max(BITMAP, (16 * left - 1).bit_length()))
+    while left > 1 << (width - 4):
         left -= sizes.get(level, 0)
         level += 1
-    return bitmap(frequent.where(F.col("n") >= 1 << level), F.col("position"))
+    return bitmap(frequent.where(F.col("n") >= 1 << level), F.shiftright("position", WIDEST - width), width)
+
+
+def _width(bits: np.ndarray) -> int:
+    """log2 of the bits of a bitmap."""
+    return (8 * len(bits)).bit_length() - 1
 
 
 def _bands(n: int) -> set[int]:
@@ -301,7 +311,7 @@ def index(docs: Wanted, classes: bytes, n_tokens: int) -> tuple[DataFrame, DataF
         for doc, own in sets:
             if len(own) < 4:  # of sets this small, only equal ones reach the share
                 continue
-            rare, pairs = prefix(own, has_bit(frequent, (own >> _U(64 - BITMAP)).astype(np.int64)))
+            rare, pairs = prefix(own, has_bit(frequent, (own >> _U(64 - _width(frequent))).astype(np.int64)))
             if len(rare):
                 tokens.append(rare)
                 ids.append(doc)
@@ -344,33 +354,40 @@ def rare_candidates(runs: DataFrame, n_postings: int) -> DataFrame:
             return
         token, doc, size = map(np.concatenate, (tokens, docs, sizes))
         tokens, docs, sizes = [], [], []
-        order = np.lexsort((doc, token))
-        token, doc, size = token[order], doc[order], size[order]
-        first = np.flatnonzero(np.concatenate(([True], token[1:] != token[:-1])))
-        n = np.diff(np.append(first, len(token)))
-        left, right = [], []
-        for m in np.unique(n[n > 1]):
-            rows = first[n == m][:, None] + np.arange(m)
-            for i in range(m - 1):
-                for j in range(i + 1, m):
-                    a, b = rows[:, i], rows[:, j]
-                    na, nb = size[a] >> 32, size[b] >> 32
-                    fits = (100 * np.minimum(na, nb) >= SHARE * np.maximum(na, nb)) & (doc[a] != doc[b])
-                    left.append(a[fits])
-                    right.append(b[fits])
-        if not left:
-            return
-        a, b = np.concatenate(left), np.concatenate(right)
-        columns = doc[a], doc[b], size[a], size[b]
-        order = np.lexsort(columns[::-1])
-        columns = [x[order] for x in columns]
-        new = np.ones(len(order), bool)
-        new[1:] = np.any([x[1:] != x[:-1] for x in columns], axis=0)
-        head = np.flatnonzero(new)
-        c = np.diff(np.append(head, len(order)))
-        for k in range(0, len(head), 1 << 14):
-            here = head[k : k + (1 << 14)]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x[here]) for x in columns), pa.array(c[k : k + (1 << 14)], pa.int64())], ["a", "b", "sa", "sb", "c"])
+        n = size >> 32
+        order = np.lexsort((doc, n, token))
+        token, doc, size, n = token[order], doc[order], size[order], n[order]
+
+        def counted() -> Iterator[pa.RecordBatch]:
+            a, b = np.concatenate(left), np.concatenate(right)
+            a, b = np.where(doc[a] < doc[b], a, b), np.where(doc[a] < doc[b], b, a)
+            columns = doc[a], doc[b], size[a], size[b]
+            order = np.lexsort(columns[::-1])
+            columns = [x[order] for x in columns]
+            head = np.flatnonzero(np.concatenate(([True], np.any([x[1:] != x[:-1] for x in columns], axis=0))))
+            c = np.diff(np.append(head, len(order)))
+            for k in range(0, len(head), 1 << 14):
+                here = head[k : k + (1 << 14)]
+                yield pa.RecordBatch.from_arrays([*(pa.array(x[here]) for x in columns), pa.array(c[k : k + (1 << 14)], pa.int64())], ["a", "b", "sa", "sb", "c"])
+
+        # Each posting meets the next one of its token, then the one after that; sizes ascend, so after one that is too large all are.
+        left, right, held, step = [], [], 0, 0
+        alive = np.arange(len(token))
+        while len(alive):
+            step += 1
+            alive = alive[: np.searchsorted(alive, len(token) - step)]
+            other = alive + step
+            alive = alive[(token[other] == token[alive]) & (100 * n[alive] >= SHARE * n[other])]
+            unlike = alive[doc[alive] != doc[alive + step]]
+            if len(unlike):
+                left.append(unlike)
+                right.append(unlike + step)
+                held += len(unlike)
+            if held >= PAIRS:
+                yield from counted()
+                left, right, held = [], [], 0
+        if held:
+            yield from counted()
 
     return runs.repartition(_readers(n_postings), "part").mapInArrow(meet, "a long, b long, sa long, sb long, c long")
 
