@@ -9,7 +9,7 @@ table come the whole count, the count of any prefix (``count_at``) and the longe
 
 Defined results: null and empty texts have 0 tokens; the special string counts as the vocabulary file says
 (one token wherever it stands); prefixes end between code points; a piece costs time in
-proportion to its length; rows that repeat are counted each; other columns are never read.
+proportion to its length, and its total alone no memory beyond a block; what a worker keeps is bounded in number and length; rows that repeat are counted each; other columns are never read.
 """
 
 from __future__ import annotations
@@ -29,8 +29,12 @@ from .common import table
 
 #: A document of more tokens than this is over the limit.
 LIMIT = 1024
-#: Pieces whose counts a worker keeps; the store is emptied when it is full.
-KEPT = 800_000
+#: Pieces whose counts a worker keeps, and their code points at most; the store is emptied when it is full.
+KEPT, KEPT_CHARS = 800_000, 64
+#: Pairs of tokens that a worker keeps.
+KEPT_PAIRS = 1_600_000
+#: Bytes of a piece that are counted at a time where only its total is asked for.
+BLOCK = 1 << 16
 #: Fixed value: the pattern by which this family of vocabularies cuts texts into pieces.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 
@@ -57,7 +61,7 @@ class PrefixCounter:
         raw = lambda s: bytes(letters[c] for c in s)
         pairs = (m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"])
         self.rank = {(raw(a), raw(b)): k for k, (a, b) in enumerate(pairs)}
-        self.tokens = {a + b for a, b in self.rank} | {bytes([b]) for b in range(256)}
+        self.tokens = {t: t for t in (*(a + b for a, b in self.rank), *(bytes([b]) for b in range(256)))}
         self.longest = max(map(len, self.tokens))
         special = [t["content"] for t in spec["added_tokens"]]
         self.marks = frozenset(special)
@@ -82,27 +86,43 @@ class PrefixCounter:
         """Merging the bytes of both gives both again; with nothing on the left: merging the right one's bytes gives it."""
         found = self.apart.get((left, right))
         if found is None:
-            if len(self.apart) > 4 * KEPT:
+            if len(self.apart) >= KEPT_PAIRS:
                 self.apart.clear()
             found = self.apart[left, right] = self.encode(left + right) == ([left, right] if left else [right])
         return found
 
-    def piece_counts(self, piece: bytes) -> list[int]:
-        """Tokens of piece[:i] for each i from 1 on."""
-        tokens, apart, last, counts, begun = self.tokens, self.apart, [b""], [0], 0
-        for end in range(1, len(piece) + 1):
+    def _grow(self, piece: bytes, last: list[bytes], counts: list[int], begun: int) -> int:
+        """Go on from the prefixes that last and counts know to the piece's end; where the last token begins, before and after."""
+        tokens, apart = self.tokens, self.apart
+        for end in range(len(last), len(piece) + 1):
             # Exactly one start fits; the last token grown by a byte comes first, as it fits most often.
-            t = piece[begun:end]
-            if t not in tokens or not (self.stays_apart(last[begun], t) if (fits := apart.get((last[begun], t))) is None else fits):
+            t = tokens.get(piece[begun:end])
+            if t is None or not (self.stays_apart(last[begun], t) if (fits := apart.get((last[begun], t))) is None else fits):
                 for start in range(end - 1, max(-1, end - self.longest - 1), -1):
-                    t = piece[start:end]
-                    if t in tokens and (self.stays_apart(last[start], t) if (fits := apart.get((last[start], t))) is None else fits):
+                    t = tokens.get(piece[start:end])
+                    if t is not None and (self.stays_apart(last[start], t) if (fits := apart.get((last[start], t))) is None else fits):
                         begun = start
                         break
             last.append(t)
             counts.append(counts[begun] + 1)
+        return begun
+
+    def piece_counts(self, piece: bytes) -> list[int]:
+        """Tokens of piece[:i] for each i from 1 on."""
+        last, counts = [b""], [0]
+        self._grow(piece, last, counts, 0)
         return counts[1:]
 
+    def piece_total(self, piece: bytes) -> int:
+        """Tokens of the whole piece; of a long one, only the prefixes within a token's length are held."""
+        last, counts, begun, at = [b""], [0], 0, 0
+        for stop in range(BLOCK, len(piece) + BLOCK, BLOCK):
+            begun = self._grow(piece[at:stop], last, counts, begun)
+            known = max(0, len(last) - 1 - self.longest)
+            del last[:known], counts[:known]
+            at, begun = at + known, begun - known
+        return counts[-1]
+
     def heads(self, piece: str) -> np.ndarray:
         """Tokens of piece[:k] for each k from 1 on, in code points."""
         raw = piece.encode()
@@ -164,17 +184,19 @@ class PrefixCounter:
 
 
 class Totals(dict):
-    """Tokens of whole pieces, filled from the last entry of each piece's prefix counts; emptied when full."""
+    """Tokens of whole pieces, filled from the last entry of each piece's prefix counts; emptied when full. Long pieces are not kept."""
 
     def __init__(self, of: PrefixCounter):
         super().__init__()
         self.of = of
 
     def __missing__(self, piece: str) -> int:
+        if len(piece) > KEPT_CHARS:
+            return self.of.piece_total(piece.encode())
         if len(self) >= KEPT:
             self.clear()
             self.update(dict.fromkeys(self.of.marks, 1))
-        found = self[piece] = self.of.piece_counts(piece.encode())[-1]
+        found = self[piece] = self.of.piece_total(piece.encode())
         return found
 
 
