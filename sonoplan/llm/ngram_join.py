@@ -26,7 +26,8 @@ Defined results: null, empty and blank texts have empty sets and link with nothi
 null component and link with nothing; rows that share a doc_id are one vertex with the links of all its texts, and have one
 component; other columns are never read.
 
-The result is components. Links are verified as far as components need them, so there is no number of links per document.
+jaccard_components verifies links as far as components need them. jaccard_links verifies every candidate and gives all links between
+unlike sets, as pairs of class representatives with the membership; link_counts gives each document's number of them.
 """
 
 from __future__ import annotations
@@ -60,6 +61,8 @@ BATCH = 500
 SALTS = 1024
 #: Frequent tokens of one group in a document of the band's least size.
 GROUP = 8
+#: Documents of one pair of frequent tokens that a task holds against all others of it, where all links are asked for.
+SLICE = 1000
 
 _U = np.uint64
 _MIX1, _MIX2 = _U(0xBF58476D1CE4E5B9), _U(0x94D049BB133111EB)
@@ -487,23 +490,66 @@ def jaccard_components(docs: DataFrame) -> DataFrame:
         return _components_of(docs.select("doc_id", "text"))
 
 
-def _components_of(docs: DataFrame) -> DataFrame:
-    spark = docs.sparkSession
+def _summaries(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """n, a, b of every doc_id's text; and of every class of equal sets, with the first doc_id."""
     own = stash(docs.select("doc_id", summary(F.col("text")).alias("s")).select("doc_id", "s.n", "s.a", "s.b"), "summaries")
     classes = own.where("n > 0 and doc_id is not null").groupBy("n", "a", "b").agg(F.min("doc_id").alias("first"))
-    classes = stash(classes, "classes")
+    return own, stash(classes, "classes")
+
+
+def _indexed(docs: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame, int]:
+    """The index of the classes' first documents: runs of rare postings, pairs of frequent tokens; and the number of tokens."""
     n_tokens = classes.agg(F.sum("n")).first()[0] or 0
+    firsts = Wanted(docs, classes.where("n > 3").select(F.col("first").alias("doc_id")))
+    frequent = stash(frequent_tokens(firsts, n_tokens), "frequent")
+    classes_of_tokens = class_bitmap(frequent)
+    release(docs.sparkSession)
+    return *index(firsts, classes_of_tokens, n_tokens), n_tokens
+
+
+def jaccard_links(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """a < b: the first doc_ids of all pairs of unlike sets that link; and doc_id, n_shingles, representative of every row of docs.
+
+    A row links with the rows of its own representative, and with those of the representatives that its own one links with. Rows without
+    doc_id, and those with empty sets, have no representative. A doc_id with several texts has a row and a representative for each; as a
+    representative itself it has the links of all its texts. The time is in proportion to the pairs whose prefixes meet: among near copies
+    that are all unlike, the square of their number, as are the links."""
+    with batches_of(docs.sparkSession, BATCH):
+        docs = docs.select("doc_id", "text")
+        own, classes = _summaries(docs)
+        runs, paired, n_tokens = _indexed(docs, classes)
+        # All documents of a pair of frequent tokens meet; those of a hot pair in many tasks, a slice of them against all.
+        slices_of = paired.groupBy(F.col("sig").alias("sig2")).agg(F.ceil(F.count(F.lit(1)) / F.lit(float(SLICE))).alias("k"), F.count(F.lit(1)).alias("m")).where("m > 1").drop("m")
+        met = paired.join(slices_of, F.col("sig") == F.col("sig2")).drop("sig2")
+        one = met.withColumn("t", F.pmod(F.xxhash64("doc"), F.col("k")))
+        other = met.select(*(F.col(c).alias(f"{c}2") for c in ("sig", "doc", "n", "nf", "q")), F.explode(F.sequence(F.lit(0).cast("long"), F.col("k") - 1)).alias("t2"))
+        common = one.join(other, (F.col("sig") == F.col("sig2")) & (F.col("t") == F.col("t2")) & (F.col("doc") < F.col("doc2")) & _near("n", "n2", "nf", "nf2", "q", "q2"))
+        pairs = may_link(rare_candidates(runs, n_tokens // N)).select("a", "b").unionByName(common.select(F.col("doc").alias("a"), F.col("doc2").alias("b")))
+        links = verified(stash(pairs.distinct(), "candidates"), docs)
+        of_class = classes.select(F.col("n").alias("n2"), F.col("a").alias("a2"), F.col("b").alias("b2"), F.col("first").alias("representative"))
+        members = own.join(of_class, (F.col("n") == F.col("n2")) & (F.col("a") == F.col("a2")) & (F.col("b") == F.col("b2")) & F.col("doc_id").isNotNull(), "left")
+        return links, members.select("doc_id", F.col("n").alias("n_shingles"), "representative")
+
+
+def link_counts(links: DataFrame, members: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, representative, n_links of every row of members: the other rows whose sets equal or link with its own."""
+    sizes = stash(members.where("representative is not null").groupBy(F.col("representative").alias("r")).agg(F.count(F.lit(1)).alias("m")), "sizes")
+    both = links.unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    unlike = both.join(sizes, F.col("b") == F.col("r")).groupBy("a").agg(F.sum("m").alias("u"))
+    counts = sizes.join(unlike, F.col("r") == F.col("a"), "left").select("r", (F.col("m") - 1 + F.coalesce("u", F.lit(0))).alias("n_links"))
+    return members.join(counts, F.col("representative") == F.col("r"), "left").select("doc_id", "n_shingles", "representative", F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"))
+
+
+def _components_of(docs: DataFrame) -> DataFrame:
+    spark = docs.sparkSession
+    own, classes = _summaries(docs)
     # A doc_id with several texts is one vertex: it ties the classes of them.
     several = own.where("doc_id is not null").groupBy("doc_id").agg(F.min(F.struct("n", "a", "b")).alias("x"), F.max(F.struct("n", "a", "b")).alias("y")).where("x <> y").select(F.col("doc_id").alias("vertex"))
     of_class = classes.select(F.col("n").alias("n3"), F.col("a").alias("a3"), F.col("b").alias("b3"), "first")
     tied = own.join(several, F.col("doc_id") == F.col("vertex")).join(of_class, (F.col("n") == F.col("n3")) & (F.col("a") == F.col("a3")) & (F.col("b") == F.col("b3")))
     tied = stash(tied.select(F.least("doc_id", "first").alias("a"), F.greatest("doc_id", "first").alias("b"), "vertex").distinct(), "tied")
     ties = tied.where("a <> b").select("a", "b")
-    firsts = Wanted(docs, classes.where("n > 3").select(F.col("first").alias("doc_id")))
-    frequent = stash(frequent_tokens(firsts, n_tokens), "frequent")
-    classes_of_tokens = class_bitmap(frequent)
-    release(spark)
-    runs, paired = index(firsts, classes_of_tokens, n_tokens)
+    runs, paired, n_tokens = _indexed(docs, classes)
 
     # Candidates: of rare tokens, all; of pairs of frequent tokens, each document with the pair's smallest.
     # Of a pair's documents of about one size, the first is the one that lacks least of what is frequent: of a group of near
